@@ -76,3 +76,27 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query()
+def op9_token_files(spark, sf_dir: str) -> DataFrame:
+    from .tokenfiles import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN kept END AS refers_to
+FROM q
+"""
+)
+def op10_warc(spark, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
