@@ -100,3 +100,17 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query()
+def op5_html(spark, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
