@@ -35,10 +35,11 @@ FEATURES = 2 * ALPHABET**3  # subsequences of length 3, and hashed ones of lengt
 FIRST, LAST = "\x02", "\x03"  # a unit's edges count as characters
 WIDTH, STRIDE = 24, 12  # longer units are read in windows of WIDTH characters
 TRAIN_DOCS = 12_000  # labelled documents, least by the hash of their id, that training reads
-POSITIVE, NEGATIVE = 3_000, 20_000  # units that training takes at most
+POSITIVE, NEGATIVE = 2_000, 8_000  # units that training starts with at most
 LANDMARKS = 320
-HARD = 4_000  # clean units that the first machine finds most toxic, for the second
-HARD_COUNT = 25  # sentences that each counts as
+ROUNDS, ROUND_MARKS = 4, 40  # of training, each with so many new landmarks
+HARD = 2_000  # clean units that a machine finds most toxic, for the next one
+HARD_COUNT = 100  # sentences that each counts as
 RIDGE = 0.1
 BIAS = -1.0  # what is like no landmark is clean
 CLEAN_WEIGHT = 4.0  # of all clean units together; a document has many and few may be wrong
@@ -183,7 +184,7 @@ class Model:
         return self.alphabet.kernel(units, self.weights)[:, 0] + self.bias
 
     def probability(self, margin: float) -> float:
-        x = self.slope * margin + self.shift
+        x = self.slope * min(max(margin, -2.0), 2.0) + self.shift
         return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
@@ -210,59 +211,87 @@ def _broken(rng: np.random.Generator, unit: str, letters: str) -> list[str]:
     return [unit[:i] + c + unit[i:], unit[:j] + unit[j - 1] + unit[j:]]
 
 
-def fit_units(positive: dict[str, int], negative: dict[str, int], landmarks: int = LANDMARKS) -> Model:
-    """Train on units with how many distinct sentences hold them."""
-    rng = np.random.default_rng(7)
-    seen: dict[str, int] = {}
-    for u, n in [*positive.items(), *negative.items()]:
-        for c in u:
-            seen[c] = seen.get(c, 0) + n
-    letters = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 3]
-    alphabet = Alphabet(FIRST + LAST + "".join(letters))
-    pos = sorted(positive, key=lambda u: (-positive[u], u))
-    neg = sorted(negative, key=lambda u: (-negative[u], u))
-    # landmarks: positives far from each other, then the clean units nearest to them
-    pool = pos[:1000]
-    near, chosen = np.zeros(len(pool)), []
-    value = np.log1p([positive[u] for u in pool])
-    for _ in range(min(landmarks // 2, len(pool))):
-        best = int(np.argmax((1 - near) * value))
-        if near[best] > 0.97:
-            break
-        chosen.append(best)
-        near = np.maximum(near, alphabet.kernel(pool, alphabet.counts([pool[best]]))[:, 0])
-    marks = [pool[i] for i in chosen]
-    close = np.zeros(len(neg), np.float32)
-    for i in range(0, len(marks), 48):
-        close = np.maximum(close, alphabet.kernel(neg, alphabet.counts(marks[i : i + 48])).max(axis=1))
-    order = np.argsort(-close, kind="stable")[: (landmarks - len(marks)) // 2]
-    marks += [neg[i] for i in order]
-    taken = set(marks)
-    marks += [u for u in neg if u not in taken][: landmarks - len(marks)]
-    inner = alphabet.gram(marks, marks).astype(np.float64)
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
-    broken = [x for u in pos[:400] for x in _broken(rng, u, alphabet.chars[2:]) if x not in negative]
-    units = [*pos, *broken, *neg]
-    y = np.array([1.0] * (len(pos) + len(broken)) + [-1.0] * len(neg))
-    x = alphabet.gram(units, marks).astype(np.float64) @ whiten
-    # a unit weighs by the sentences that hold it; both sides weigh the same in all
-    often = np.sqrt([*[positive[u] for u in pos], *[1.0] * len(broken), *[negative[u] for u in neg]])
-    weight = np.where(y > 0, often / often[y > 0].sum(), CLEAN_WEIGHT * often / often[y < 0].sum()) * len(y)
-    w = linear_svm(x, y, weight, RIDGE, BIAS)
-    primal = alphabet.combine(marks, whiten @ w)
-    return Model(alphabet, primal[:, None], BIAS, 1.0, 0.0)
+class Trainer:
+    """Fits units by Nystroem features, and again with clean units that it got most wrong. The
+    kernel of units and landmarks is kept; a round adds the rows and columns that are new."""
+
+    def __init__(self, positive: dict[str, int], negative: dict[str, int], landmarks: int = LANDMARKS):
+        rng = np.random.default_rng(7)
+        seen: dict[str, int] = {}
+        for u, n in [*positive.items(), *negative.items()]:
+            for c in u:
+                seen[c] = seen.get(c, 0) + n
+        letters = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 3]
+        self.alphabet = a = Alphabet(FIRST + LAST + "".join(letters))
+        pos = sorted(positive, key=lambda u: (-positive[u], u))
+        neg = sorted(negative, key=lambda u: (-negative[u], u))
+        # landmarks: positives far from each other, then the clean units nearest to them
+        pool, chosen = pos[:1000], []
+        near, value = np.zeros(len(pool)), np.log1p([positive[u] for u in pool[:1000]])
+        for _ in range(min(landmarks // 2, len(pool))):
+            best = int(np.argmax((1 - near) * value))
+            if near[best] > 0.97:
+                break
+            chosen.append(best)
+            near = np.maximum(near, a.kernel(pool, a.counts([pool[best]]))[:, 0])
+        self.marks = [pool[i] for i in chosen]
+        close = a.gram(neg, self.marks).max(axis=1)
+        order = np.argsort(-close, kind="stable")[: (landmarks - len(self.marks)) // 2]
+        self.marks += [neg[i] for i in order]
+        taken = set(self.marks)
+        self.marks += [u for u in neg if u not in taken][: landmarks - len(self.marks)]
+        broken = [x for u in pos[:200] for x in _broken(rng, u, letters) if x not in negative]
+        self.units = [*pos, *broken, *neg]
+        self.y = [1.0] * (len(pos) + len(broken)) + [-1.0] * len(neg)
+        self.often = [*[positive[u] for u in pos], *[1] * len(broken), *[negative[u] for u in neg]]
+        self.rows = a.gram(self.units, self.marks)
+        self.place = {u: i for i, u in enumerate(self.units)}
+
+    def add(self, hard: list[str], marks: int = ROUND_MARKS) -> None:
+        """Clean units, the worst first; the worst few become landmarks as well."""
+        new = [u for u in hard if u not in self.place]
+        for u in hard:
+            if u in self.place:
+                i = self.place[u]
+                if self.y[i] < 0:
+                    self.often[i] = max(self.often[i], HARD_COUNT) * 2
+        if new:
+            self.rows = np.concatenate([self.rows, self.alphabet.gram(new, self.marks)])
+            for u in new:
+                self.place[u] = len(self.units)
+                self.units.append(u)
+                self.y.append(-1.0)
+                self.often.append(HARD_COUNT)
+        own = [u for u in hard if u not in set(self.marks)][:marks]
+        if own:
+            self.rows = np.concatenate([self.rows, self.alphabet.gram(self.units, own)], axis=1)
+            self.marks += own
+
+    def fit(self) -> Model:
+        inner = self.alphabet.gram(self.marks, self.marks).astype(np.float64)
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
+        x, y = self.rows.astype(np.float64) @ whiten, np.array(self.y)
+        # a unit weighs by the sentences that hold it
+        often = np.sqrt(self.often)
+        weight = np.where(y > 0, often / often[y > 0].sum(), CLEAN_WEIGHT * often / often[y < 0].sum())
+        w = linear_svm(x, y, weight * len(y), RIDGE, BIAS)
+        primal = self.alphabet.combine(self.marks, whiten @ w)
+        return Model(self.alphabet, primal[:, None], BIAS, 1.0, 0.0)
 
 
 def fit_scale(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a small ridge."""
-    x = np.column_stack([margins, np.ones(len(margins))])
-    target = np.where(toxic > 0, 1 - 1e-3, 1e-3)
+    """Slope and shift of a logistic curve, both classes weighing the same, by Newton steps
+    with a small ridge."""
+    x = np.column_stack([np.clip(margins, -2, 2), np.ones(len(margins))])
+    yes = toxic > 0
+    weight = np.where(yes, 0.5 / max(1, yes.sum()), 0.5 / max(1, (~yes).sum())) * len(margins)
+    target = np.where(yes, 1 - 1e-3, 1e-3)
     w = np.array([4.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-2 * (w - np.array([4.0, 0.0])))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (target - p)) - 1e-2 * (w - np.array([4.0, 0.0])))
         w = w + np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
@@ -333,6 +362,16 @@ def _score(key: str, text: str, extra: str | None, model: Model):
     return run
 
 
+def _margins(model: Model):
+    def run(batches):
+        for batch in batches:
+            units = batch.column(0)
+            found = model.units(units.to_pylist())
+            yield pa.RecordBatch.from_arrays([units, pa.array(found, pa.float64())], names=["unit", "margin"])
+
+    return run
+
+
 def held_out(key) -> F.Column:
     """Rows that training never reads: crc32 of the id as text, modulo 5, is 0. A null id is
     not held out; no label can name it."""
@@ -370,24 +409,41 @@ def train(
         .groupBy("sentence")
         .agg(F.min("toxic").alias("toxic"), F.first("units").alias("units"))
     )
+    sentences = stage(sentences, "toxic-sentences")
     units = stage(
         sentences.select("toxic", F.explode("units").alias("unit"))
         .groupBy("unit")
         .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")),
         "toxic-units",
     )
-    pos = (
-        units.where("pos >= 3 and pos >= 4 * neg").orderBy(F.desc("pos"), "unit").limit(POSITIVE).collect()
-    )
+    share = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    prior = ((share[0] or 0) + 0.5) / (share[1] + 1)
+    flat = Model(None, None, 0.0, 0.0, float(np.log(prior / (1 - prior))))
+    # so many toxic sentences that chance alone would give no unit as many
+    base = sentences.agg(F.avg("toxic")).first()[0] or 0.0
+    least = max(3, int(np.ceil(np.log(max(2, units.count())) / -np.log(base)))) if 0 < base < 1 else 3
+    pos = units.where(f"pos >= {least} and pos >= 4 * neg").orderBy(F.desc("pos"), "unit").limit(POSITIVE).collect()
     negative = units.where("neg >= 1 and 4 * neg > pos")
     neg = negative.orderBy(F.desc("neg"), "unit").limit(NEGATIVE // 2).collect()
     neg += negative.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE // 2).collect()
-    share = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    prior = ((share[0] or 0) + 0.5) / (share[1] + 1)
     if not pos or not neg:
-        unstage(chosen, rows, units)
-        return Model(None, None, 0.0, 0.0, float(np.log(prior / (1 - prior))))
-    model = fit_units({r["unit"]: r["pos"] for r in pos}, {r["unit"]: r["neg"] for r in neg})
+        unstage(chosen, rows, sentences, units)
+        return flat
+    trainer = Trainer({r["unit"]: r["pos"] for r in pos}, {r["unit"]: r["neg"] for r in neg})
+    model = trainer.fit()
+    for _ in range(ROUNDS):
+        hard = (
+            negative.select("unit")
+            .mapInArrow(_margins(model), "unit string, margin double")
+            .where("margin > -0.5")
+            .orderBy(F.desc("margin"), "unit")
+            .limit(HARD)
+            .collect()
+        )
+        if not hard:
+            break
+        trainer.add([r["unit"] for r in hard])
+        model = trainer.fit()
     found = (
         rows.mapInArrow(_score("id", "body", "toxic", model), "doc_id long, toxic int, margin double, score double")
         .select("toxic", "margin")
@@ -396,7 +452,7 @@ def train(
     model.slope, model.shift = fit_scale(
         np.array([r["margin"] for r in found]), np.array([r["toxic"] for r in found])
     )
-    unstage(chosen, rows, units)
+    unstage(chosen, rows, sentences, units)
     return model
 
 
