@@ -224,7 +224,8 @@ def write_token_files(
     partitions: int | None = None,
 ) -> list[tuple[str, int]]:
     """Write the ids of all documents to shards below `uri`, in ascending order of the key;
-    null keys come first, and equal keys stay beside each other, ordered by text. Returns (shard, ids of
+    null keys come first, and equal keys stay beside each other, ordered by a hash
+    of the text. Returns (shard, ids of
     all shards before it) in order: one entry for each shard, which the driver also writes to
     `uri` as MANIFEST. Null texts are empty; the end id alone is written for them."""
     spark = docs.sparkSession
@@ -237,10 +238,11 @@ def write_token_files(
     digest = hashlib.sha256(dictionary).hexdigest()
     with fs.open_output_stream(f"{base}/{digest}.dict") as f:
         f.write(dictionary)
-    frame = docs.select(key, text)
-    dealt = frame.repartitionByRange(partitions, key, text) if partitions else frame.repartitionByRange(key, text)
+    frame, order = docs.select(key, text), (F.col(key).asc_nulls_first(), F.xxhash64(text))
+    # the hash parts rows of equal keys, and keeps texts out of the sample of the ranges
+    dealt = frame.repartitionByRange(partitions, *order) if partitions else frame.repartitionByRange(*order)
     rows = (
-        dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+        dealt.sortWithinPartitions(*order)
         .mapInArrow(
             _write(key, text, path, uri, dictionary, width, end_id),
             "name string, task int, part int, docs long, tokens long",
