@@ -37,6 +37,7 @@ MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 1 << 30  # an archive is closed once it has so many
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
+BROADCAST_ROWS = 1 << 20  # repeated payloads, of about 100 bytes each, that are sent to all tasks
 DATE = "2024-01-01T00:00:00Z"  # the input has no capture time
 
 
@@ -120,6 +121,9 @@ def write_warc(
         .where("kept > first")
         .select("digest", "n", "kept")
     )
+    kept = stage(kept, "warc-kept")
+    if kept.count() <= BROADCAST_ROWS:  # else both sides are dealt out by digest
+        kept = F.broadcast(kept)
     marked = rows.join(kept, ["digest", "n"], "left").select(
         "page_id", "url", "html", "digest", F.expr("if(page_id < kept, kept, null)").alias("refers_to")
     )
