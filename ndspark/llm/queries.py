@@ -114,3 +114,67 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON v.vec_id = l.a
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON v.vec_id = r.a
+"""
+)
+def op3_lattice(spark, sf_dir: str) -> DataFrame:
+    from .lattice import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _license_sql() -> str:
+    from .licenses import oracle
+
+    return oracle()
+
+
+@query(_license_sql())
+def op2_licenses(spark, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH l AS (SELECT conv_id, max(turn) AS last, arg_max(coalesce(text, ''), turn) AS answer
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+s AS (SELECT l.conv_id, l.last, coalesce(d.answer, '') AS other FROM l LEFT JOIN l d ON d.conv_id = l.conv_id + 1),
+k AS (SELECT c.conv_id AS pair_id, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS text
+    FROM conversations c JOIN s ON s.conv_id = c.conv_id),
+r AS (SELECT k.pair_id, k.turn, k.role, k.text FROM k JOIN s ON s.conv_id = k.pair_id WHERE k.turn < s.last
+    UNION ALL SELECT conv_id, last, 'assistant', other FROM s),
+j AS (SELECT coalesce(k.pair_id, r.pair_id) AS pair_id, coalesce(k.turn, r.turn) AS turn, k.role AS cr, k.text AS ct,
+    r.role AS rr, r.text AS rt FROM k FULL JOIN r ON k.pair_id = r.pair_id AND k.turn = r.turn),
+f AS (SELECT pair_id, min(turn) AS first FROM j WHERE cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt GROUP BY pair_id),
+p AS (SELECT j.*, f.first FROM j LEFT JOIN f ON f.pair_id = j.pair_id),
+o AS (SELECT pair_id, 'prompt' AS part, turn, cr AS role, ct AS text FROM p WHERE first IS NULL OR turn < first
+    UNION ALL SELECT pair_id, 'chosen', turn, cr, ct FROM p WHERE turn >= first AND cr IS NOT NULL
+    UNION ALL SELECT pair_id, 'rejected', turn, rr, rt FROM p WHERE turn >= first AND rr IS NOT NULL)
+SELECT pair_id, part, turn, role, '<|im_start|>' || replace(replace(role, '<|im_start|>', '< |im_start|>'),
+    '<|im_end|>', '< |im_end|>') || chr(10) || replace(replace(text, '<|im_start|>', '< |im_start|>'),
+    '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS rendered,
+    part <> 'prompt' AND role = 'assistant' AS target FROM o
+"""
+)
+def op4_preferences(spark, sf_dir: str) -> DataFrame:
+    from .chat import format_preferences, swapped_answers
+
+    turns = table(spark, sf_dir, "conversations")
+    rejected = swapped_answers(turns)
+    answered = turns.join(rejected.select("conv_id").distinct(), "conv_id", "left_semi")
+    return format_preferences(answered, rejected)
