@@ -294,8 +294,32 @@ def contamination(
     return frame
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs whose text holds no benchmark window, all their columns kept. The key
-    must be unique and not null, as for any row that is to be found again."""
-    bad = contamination(docs, benchmark, key, text).where("contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
+def _untouched(block: Block, text: str):
+    def run(batches):
+        for batch in small_batches(batches, text):
+            keep = [
+                not any(True for _ in _occurrences(_ids(words_of(raw), block.words), block))
+                for raw in binary_texts(batch, text)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    shingle: int = SHINGLE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs that contamination() would not mark, with all their columns. No join:
+    each block of the benchmark takes out the rows that hold one of its windows."""
+    frame = docs
+    for block in _blocks(benchmark, item_key, item_text, window, shingle, block_bytes):
+        choose_prefix(block, count_shingles(docs, block, text), shingle)
+        frame = frame.mapInArrow(_untouched(block, text), docs.schema)
+    return frame

@@ -247,3 +247,14 @@ def near_duplicates(
     return found.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of docs for each component, with all its columns: that with the least key. Of
+    several rows with that key one stays. Rows without a key go if a row with one is in their
+    component; else one stays for each distinct text."""
+    found = near_duplicates(docs, key, text, **options)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    stays = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    once = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(0)
+    return stays.withColumn("_once", once).dropDuplicates([key, "_once"]).select(docs.columns)

@@ -475,3 +475,19 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled documents that are not held out, then score every document."""
     return score_documents(docs, train(docs, labels))
+
+
+def _clean_rows(text: str, model: Model):
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in small_batches(batches, text, 8 << 20):
+            texts = [(x or b"").decode("utf-8", "surrogatepass") for x in binary_texts(batch, text)]
+            keep = [model.probability(m) < 0.5 for m in scorer.margins(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that score_documents() would not predict as toxic, all columns kept."""
+    return docs.mapInArrow(_clean_rows(text, model), docs.schema)
