@@ -1,36 +1,566 @@
-"""Registered queries of the array engine and the SQL each must equal."""
+"""Registered queries of the array engine and the SQL each must equal.
+
+The test tables' keys are dense and start at 0, so they are axes: E is embeddings by vector and
+component, V and U the events' values and users by event, O the orders' prices, L the labels
+over all documents, with gaps.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import keys
+from ..functions import expressions as ex
+from ..operators.frame import ArrayFrame
+from ..operators.group import Group, cached_array, open_node
+from ..sources.scratch import scratch
+from ..sources.stores import FileStore, HttpStore, ZipStore, open_store, serve, write_zip
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, name: str | None = None) -> Callable:
     """Register a query under its function's name, with its SQL."""
 
     def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name or f.__name__] = sql
         return f
 
     return put
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def extent(df: DataFrame, axis: str) -> int:
+    """The length of an axis: from one column, by partial aggregates."""
+    top = df.agg(F.max(axis)).first()[0]
+    return 0 if top is None else int(top) + 1
+
+
+def array_e(spark, sf_dir: str) -> ArrayFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    cells = rows.select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "value"))
+    cells = cells.select("d0", F.col("d1").cast("bigint").alias("d1"), F.col("value").cast("double").alias("value"))
+    return ArrayFrame.of_cells(cells, (extent(rows, "vec_id"), 64), (100, 16))
+
+
+def column_array(spark, sf_dir: str, name: str, axis: str, value: str, chunk: int = 1000) -> ArrayFrame:
+    rows = table(spark, sf_dir, name)
+    cells = rows.select(F.col(axis).alias("d0"), F.col(value).alias("value"))
+    return ArrayFrame.of_cells(cells, (extent(rows, axis),), (chunk,))
+
+
+def array_v(spark, sf_dir: str) -> ArrayFrame:
+    return column_array(spark, sf_dir, "events", "event_id", "value")
+
+
+def array_u(spark, sf_dir: str) -> ArrayFrame:
+    return column_array(spark, sf_dir, "events", "event_id", "user_id")
+
+
+def array_o(spark, sf_dir: str) -> ArrayFrame:
+    return column_array(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+
+
+def array_l(spark, sf_dir: str) -> ArrayFrame:
+    cells = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("d0")).agg(F.min("quality").alias("value"))
+    n = extent(table(spark, sf_dir, "documents"), "doc_id")
+    return replace(a := ArrayFrame.of_cells(cells, (n,), (10,)), meta=replace(a.meta, fill_value=-1))
+
+
+E = "(SELECT vec_id AS d0, unnest(range(0, len(embedding))) AS d1, unnest(embedding)::DOUBLE AS value FROM embeddings)"
+V = "(SELECT event_id AS d0, value FROM events)"
+U = "(SELECT event_id AS d0, user_id AS value FROM events)"
+O = "(SELECT o_orderkey AS d0, o_totalprice AS value FROM orders)"
+L = "(SELECT doc_id AS d0, min(quality) AS value FROM labels GROUP BY doc_id)"
+GRID = "(SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS d0)"
+
+
+# ---- slices
+
+
+@query(f"SELECT d0 - 10 AS d0, d1, value FROM {E} WHERE d0 >= 10 AND d0 < 20 AND d1 < 4")
+def slice_box_2d(spark, sf_dir):
+    return array_e(spark, sf_dir).slice((10, 20), (0, 4)).df
+
+
+@query(f"SELECT value FROM {E} WHERE d0 = 7 AND d1 = 3")
+def slice_point(spark, sf_dir):
+    return array_e(spark, sf_dir)[7, 3].df
+
+
+@query(f"SELECT d1 AS d0, value FROM {E} WHERE d0 = 5")
+def slice_row(spark, sf_dir):
+    return array_e(spark, sf_dir)[5].df
+
+
+@query(f"SELECT d1 AS d0, value FROM {E} WHERE d0 = (SELECT max(vec_id) FROM embeddings)")
+def slice_last(spark, sf_dir):
+    return array_e(spark, sf_dir)[-1].df
+
+
+# ---- chunks and keys
+
+
+@query(f"SELECT d0 // 100 AS p0, d1 // 16 AS p1, count(*) AS cells FROM {E} GROUP BY 1, 2")
+def chunk_grid(spark, sf_dir):
+    grid = array_e(spark, sf_dir).chunk_grid()
+    return grid.select("p0", "p1", ((F.col("hi0") - F.col("lo0")) * (F.col("hi1") - F.col("lo1"))).alias("cells"))
+
+
+def _keyed(spark, sf_dir, spec: dict) -> DataFrame:
+    a = array_e(spark, sf_dir)
+    a = replace(a, meta=replace(a.meta, encoding=keys.parse(spec)))
+    return a.with_chunk().groupBy("key").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query(f"SELECT (d0 // 100) || '.' || (d1 // 16) AS key, count(*) AS cells FROM {E} GROUP BY 1")
+def chunk_key_v2(spark, sf_dir):
+    return _keyed(spark, sf_dir, {"name": "v2"})
+
+
+@query(f"SELECT 'c/' || (d0 // 100) || '/' || (d1 // 16) AS key, count(*) AS cells FROM {E} GROUP BY 1")
+def chunk_key_default(spark, sf_dir):
+    return _keyed(spark, sf_dir, {"name": "default"})
+
+
+@query(f"SELECT 'c/' || (d0 // 100) || '/' || (d1 // 16) || '.bin' AS key, count(*) AS cells FROM {E} GROUP BY 1")
+def chunk_key_suffix(spark, sf_dir):
+    return _keyed(spark, sf_dir, {"name": "suffix", "configuration": {"suffix": ".bin", "base-encoding": {"name": "default"}}})
+
+
+@query(f"SELECT count(DISTINCT (d0 // 100, d1 // 16)) AS chunks FROM {E} WHERE d0 >= 150 AND d0 < 320 AND d1 >= 10 AND d1 < 20")
+def chunk_prune_count(spark, sf_dir):
+    grid = array_e(spark, sf_dir).chunk_grid()
+    return grid.where("lo0 < 320 and hi0 > 150 and lo1 < 20 and hi1 > 10").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+# ---- algebra
+
+
+@query(f"SELECT d0, round(value - 273.15::DOUBLE, 6) AS value FROM {V}")
+def broadcast_scalar(spark, sf_dir):
+    return array_v(spark, sf_dir).map(lambda x: F.round(x - F.lit(273.15), 6)).df
+
+
+def weights(spark, n: int = 64) -> ArrayFrame:
+    return ArrayFrame.of_cells(spark.range(n).select(F.col("id").alias("d0"), (F.col("id") + 1).cast("double").alias("value")), (n,))
+
+
+@query(f"SELECT d0, d1, round(value * (d1 + 1), 6) AS value FROM {E}")
+def broadcast_vector(spark, sf_dir):
+    return array_e(spark, sf_dir).combine(weights(spark), lambda x, w: F.round(x * w, 6)).df
+
+
+STATS = "round(sum(value), 4) AS s, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(*) AS n, round(avg(value), 4) AS mean"
+
+
+def _stats(x):
+    return F.struct(
+        F.round(F.sum(x), 4).alias("s"), F.round(F.min(x), 4).alias("lo"), F.round(F.max(x), 4).alias("hi"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"),
+    )
+
+
+def _reduced(a: ArrayFrame, gone: list[int] | None) -> DataFrame:
+    kept = [f"d{i}" for i in range(a.rank) if gone is not None and i not in gone]
+    named = [F.col(c).alias(f"d{k}") for k, c in enumerate(kept)]
+    return a.df.groupBy(*kept).agg(_stats(F.col("value")).alias("v")).select(*named, "v.*")
+
+
+@query(f"SELECT d1 AS d0, {STATS} FROM {E} GROUP BY d1")
+def reduce_axis0(spark, sf_dir):
+    return _reduced(array_e(spark, sf_dir), [0])
+
+
+@query(f"SELECT d0, {STATS} FROM {E} GROUP BY d0")
+def reduce_axis1(spark, sf_dir):
+    return _reduced(array_e(spark, sf_dir), [1])
+
+
+@query(f"SELECT {STATS} FROM {E}")
+def reduce_all(spark, sf_dir):
+    return _reduced(array_e(spark, sf_dir), None)
+
+
+@query(f"SELECT 0::BIGINT AS d0, d1, round(sum(value), 4) AS value FROM {E} GROUP BY d1")
+def reduce_keepdims(spark, sf_dir):
+    return array_e(spark, sf_dir).reduce("sum", [0], keepdims=True).map(lambda x: F.round(x, 4)).df
+
+
+@query(f"SELECT d0, round(sum(value * (d1 + 1)) / sum(d1 + 1.0::DOUBLE), 6) AS value FROM {E} GROUP BY d0")
+def weighted_mean(spark, sf_dir):
+    return array_e(spark, sf_dir).weighted_mean(weights(spark), [1]).map(lambda x: F.round(x, 6)).df
+
+
+@query(f"SELECT d0, round(cos(radians(value)), 6) AS value FROM {V}")
+def elementwise_math(spark, sf_dir):
+    return array_v(spark, sf_dir).map(lambda x: F.round(F.cos(F.radians(x)), 6)).df
+
+
+@query(f"SELECT d0, d1, round(sum(value), 4) AS value FROM {E} GROUP BY GROUPING SETS ((d0), (d1), ())")
+def reduce_grouping_sets(spark, sf_dir):
+    df = array_e(spark, sf_dir).df
+    return df.groupingSets([[df.d0], [df.d1], []], df.d0, df.d1).agg(F.round(F.sum("value"), 4).alias("value"))
+
+
+# ---- fill values
+
+
+@query(f"SELECT g.d0, coalesce(l.value, -1) AS value FROM {GRID} g LEFT JOIN {L} l ON g.d0 = l.d0")
+def fill_dense(spark, sf_dir):
+    return array_l(spark, sf_dir).dense().df
+
+
+@query(f"SELECT count(*) AS cells, count(*) - count(l.value) AS missing FROM {GRID} g LEFT JOIN {L} l ON g.d0 = l.d0")
+def fill_as_missing(spark, sf_dir):
+    cells = array_l(spark, sf_dir).dense().missing(-1).df
+    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+
+@query(f"SELECT p0 FROM (SELECT DISTINCT d0 // 10 AS p0 FROM {GRID}) EXCEPT SELECT d0 // 10 FROM {L}")
+def fill_elide(spark, sf_dir):
+    a = array_l(spark, sf_dir)
+    stored = a.df.where("value <> -1").select(F.expr("d0 div 10").alias("p0")).distinct()
+    return a.chunk_grid().select("p0").join(stored, "p0", "left_anti")
+
+
+@query(f"SELECT count(DISTINCT d0 // 10) AS k, (SELECT (max(doc_id) + 10) // 10 FROM documents) AS n FROM {L}")
+def chunks_initialized(spark, sf_dir):
+    a = array_l(spark, sf_dir)
+    return a.df.agg(F.count_distinct(F.expr("d0 div 10")).alias("k")).withColumn("n", F.lit(a.meta.n_chunks).cast("bigint"))
+
+
+# ---- writes and shapes
+
+
+@query(f"SELECT d0, CASE WHEN d0 >= 100 AND d0 < 200 THEN 5.0::DOUBLE ELSE value END AS value FROM {V}")
+def assign_box(spark, sf_dir):
+    return array_v(spark, sf_dir).assigned(5.0, (100, 200)).df
+
+
+@query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V}")
+def append_axis0(spark, sf_dir):
+    a = array_v(spark, sf_dir)
+    return a.concat(a, 0).df
+
+
+@query(f"SELECT d0, d1, value FROM {E} UNION ALL SELECT d0, d1 + 64, -value FROM {E}")
+def append_axis1(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    return a.concat(a.map(lambda x: -x), 1).df
+
+
+@query(f"SELECT d0, d1, value FROM {E} UNION ALL SELECT (SELECT max(vec_id) + 1 FROM embeddings), d1, value FROM {E} WHERE d0 = 0")
+def append_row(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    return a.concat(a.slice((0, 1)), 0).df
+
+
+@query(f"SELECT 0::BIGINT AS d0, d0 AS d1, value FROM {V} UNION ALL SELECT 1, d0, value * 2 FROM {V}")
+def concat_new_axis(spark, sf_dir):
+    a = array_v(spark, sf_dir)
+    return a.concat(a.map(lambda x: x * 2), a.rank).df
+
+
+@query(f"SELECT d0, d1, value FROM {E} WHERE d0 < 50 AND d1 < 10")
+def resize_shrink(spark, sf_dir):
+    return array_e(spark, sf_dir).resized((50, 10)).df
+
+
+@query(
+    f"SELECT g.d0, coalesce(o.value, -1.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 101 FROM orders))) AS d0) g "
+    f"LEFT JOIN {O} o ON g.d0 = o.d0"
+)
+def resize_grow(spark, sf_dir):
+    a = array_o(spark, sf_dir)
+    return a.resized((a.shape[0] + 100,), -1.0).df
+
+
+@query(f"SELECT d1 AS d0, d0 AS d1, value FROM {E}")
+def transpose(spark, sf_dir):
+    return array_e(spark, sf_dir).transpose().df
+
+
+@query(f"SELECT (d0 * 64 + d1) // 16 AS d0, (d0 * 64 + d1) % 16 AS d1, value FROM {E}")
+def reshape(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    return a.reshape((a.shape[0] * 4, 16)).df
+
+
+@query(f"SELECT d0 * 64 + d1 AS position, value FROM {E}")
+def linear_index(spark, sf_dir):
+    return array_e(spark, sf_dir).ravel()
+
+
+# ---- filters as expressions
+
+
+def _chunked_u(spark, sf_dir) -> DataFrame:
+    return array_u(spark, sf_dir).with_chunk().select("chunk", F.col("d0").alias("position"), "value")
+
+
+@query(f"SELECT d0 // 1000 AS chunk, d0 AS position, coalesce(value - lag(value) OVER (PARTITION BY d0 // 1000 ORDER BY d0), value) AS value FROM {U}")
+def delta_encode(spark, sf_dir):
+    return ex.delta_encode(_chunked_u(spark, sf_dir))
+
+
+@query(f"SELECT d0 // 1000 AS chunk, d0 AS position, value FROM {U}")
+def delta_decode(spark, sf_dir):
+    return ex.delta_decode(ex.delta_encode(_chunked_u(spark, sf_dir)))
+
+
+@query(f"SELECT d0, round_even((value - 100.0::DOUBLE) * 10.0::DOUBLE, 0)::INTEGER AS value FROM {V}")
+def scale_offset_encode(spark, sf_dir):
+    return array_v(spark, sf_dir).map(lambda x: ex.scale_offset_encode(x, 100, 10)).df
+
+
+@query(f"SELECT d0, round(round_even((value - 100.0::DOUBLE) * 10.0::DOUBLE, 0)::INTEGER / 10.0::DOUBLE + 100.0::DOUBLE, 6) AS value FROM {V}")
+def scale_offset_decode(spark, sf_dir):
+    return array_v(spark, sf_dir).map(lambda x: F.round(ex.scale_offset_decode(ex.scale_offset_encode(x, 100, 10), 100, 10), 6)).df
+
+
+@query(f"SELECT d0, round_even(value * 16.0::DOUBLE, 0) / 16.0::DOUBLE AS value FROM {V}")
+def quantize(spark, sf_dir):
+    return array_v(spark, sf_dir).map(lambda x: ex.quantize(x, 1)).df
+
+
+def ragged(spark, sf_dir) -> DataFrame:
+    """The texts of a conversation, by turn, as one ragged element."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("d0"))
+    return turns.agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("value"))
+
+
+@query("SELECT conv_id AS d0, count(*)::INTEGER AS items, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations GROUP BY conv_id")
+def ragged_lengths(spark, sf_dir):
+    sizes = F.aggregate("value", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x))
+    return ragged(spark, sf_dir).select("d0", F.size("value").alias("items"), sizes.alias("bytes"))
+
+
+@query("SELECT conv_id AS d0, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS item, text AS value FROM conversations")
+def ragged_explode(spark, sf_dir):
+    return ragged(spark, sf_dir).select("d0", F.posexplode("value").alias("item", "value"))
+
+
+@query("SELECT c_custkey AS d0, c_mktsegment AS value, length(c_mktsegment)::INTEGER AS length FROM customer")
+def fixed_string(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    value = ex.fixed_string(F.col("c_mktsegment"), 16)
+    return rows.select(F.col("c_custkey").alias("d0"), value.alias("value")).withColumn("length", F.length("value"))
+
+
+@query(f"SELECT count(*) AS differing FROM {E} WHERE value IS NULL")
+def array_equal(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    return a.differs(a.transpose().transpose()).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query(
+    "SELECT max(vec_id) + 1 AS n0, 64::BIGINT AS n1, (max(vec_id) + 1) * 64 * 8 AS n_bytes, ((max(vec_id) + 100) // 100) * 4 AS chunks FROM embeddings"
+)
+def info_row(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    row = (a.shape[0], a.shape[1], a.nbytes(), a.meta.n_chunks)
+    return spark.createDataFrame([row], "n0 bigint, n1 bigint, n_bytes bigint, chunks bigint")
+
+
+@query(
+    "SELECT l_linenumber - 1 AS d0, count(*) AS cells, round(sum(v), 2) AS value FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, "
+    "sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1"
+)
+def sparse_reduce(spark, sf_dir):
+    """Repeated coordinates are added up before the cells are an array."""
+    rows = table(spark, sf_dir, "lineitem")
+    at = [F.col("l_orderkey").alias("d0"), (F.col("l_linenumber") - 1).cast("bigint").alias("d1")]
+    cells = rows.groupBy(*at).agg(F.sum("l_quantity").alias("value"))
+    return cells.groupBy(F.col("d1").alias("d0")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 2).alias("value"))
+
+
+# ---- what is written and read back
+
+
+ALL_E = f"SELECT d0, d1, value FROM {E}"
+ALL_U = f"SELECT d0, value FROM {U}"
+SHARDS = {
+    "name": "sharding_indexed",
+    "configuration": {
+        "chunk_shape": [25, 8],
+        "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 3}}],
+        "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}],
+    },
+}
+LITTLE = {"name": "bytes", "configuration": {"endian": "little"}}
+V2_CODECS = {
+    "raw": None,
+    "zlib": {"id": "zlib", "level": 3},
+    "gzip": {"id": "gzip", "level": 3},
+    "zstd": {"id": "zstd", "level": 3},
+    "blosc_lz4": {"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0},
+    "blosc_zstd_bits": {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 2, "blocksize": 0},
+}
+V3_CODECS = {
+    "v3_big_endian": [{"name": "bytes", "configuration": {"endian": "big"}}],
+    "v3_gzip": [LITTLE, {"name": "gzip", "configuration": {"level": 3}}],
+    "v3_transpose_zstd": [{"name": "transpose", "configuration": {"order": [1, 0]}}, LITTLE, {"name": "zstd", "configuration": {"level": 3}}],
+    "v3_crc32c": [LITTLE, {"name": "crc32c"}],
+    "v3_blosc": [LITTLE, {"name": "blosc", "configuration": {"cname": "zstd", "clevel": 3, "shuffle": "shuffle"}}],
+    "v3_shards": [SHARDS],
+}
+V2_FILTERS = {
+    "delta": [{"id": "delta", "dtype": "<i8", "astype": "<i8"}],
+    "fletcher32": [{"id": "fletcher32"}],
+    "shuffle": [{"id": "shuffle", "elementsize": 8}],
+    "delta_fletcher32": [{"id": "delta", "dtype": "<i8", "astype": "<i8"}, {"id": "fletcher32"}],
+}
+
+
+def _saved(a: ArrayFrame, name: str, **options) -> ArrayFrame:
+    where = scratch(a.df.sparkSession, name)
+    a.save(where, "a", **options)
+    return ArrayFrame.open(a.df.sparkSession, where, "a")
+
+
+def _round_trip(make: Callable, **options) -> Callable:
+    return lambda spark, sf_dir: _saved(make(spark, sf_dir), "round-trip", **options).df
+
+
+for _name, _spec in V2_CODECS.items():
+    query(ALL_E, f"codec_roundtrip_{_name}")(_round_trip(array_e, compressor=_spec))
+for _name, _specs in V3_CODECS.items():
+    query(ALL_E, f"codec_roundtrip_{_name}")(_round_trip(array_e, format=3, codecs=_specs, fill_value=0.0))
+for _name, _specs in V2_FILTERS.items():
+    query(ALL_U, f"filter_roundtrip_{_name}")(_round_trip(array_u, filters=_specs, compressor={"id": "zstd", "level": 3}))
+
+
+@query(f"SELECT d0, value FROM {O}")
+def float_roundtrip(spark, sf_dir):
+    return _saved(array_o(spark, sf_dir), "orders").df
+
+
+@query("SELECT doc_id AS d0, text AS value FROM documents")
+def text_roundtrip_vlen_utf8(spark, sf_dir):
+    return _saved(column_array(spark, sf_dir, "documents", "doc_id", "text", 64), "texts").df
+
+
+@query("SELECT vec_id AS d0, embedding AS value FROM embeddings")
+def ragged_roundtrip_vlen_array(spark, sf_dir):
+    return _saved(column_array(spark, sf_dir, "embeddings", "vec_id", "embedding", 50), "ragged").df
+
+
+@query("SELECT event_id AS d0, ts AS value FROM events")
+def date_roundtrip(spark, sf_dir):
+    return _saved(column_array(spark, sf_dir, "events", "event_id", "ts"), "dates").df
+
+
+@query(f"SELECT d0 - 30 AS d0, d1 - 12 AS d1, value FROM {E} WHERE d0 >= 30 AND d0 < 140 AND d1 >= 12 AND d1 < 40")
+def shard_box(spark, sf_dir):
+    return _saved(array_e(spark, sf_dir), "shards", format=3, codecs=[SHARDS], fill_value=0.0).slice((30, 140), (12, 40)).df
+
+
+@query(f"SELECT d0, d1, value FROM {E} WHERE d0 >= 210 AND d0 < 260 AND d1 = 33")
+def pushed_filter(spark, sf_dir):
+    return _saved(array_e(spark, sf_dir), "pushed").df.where("d0 >= 210 and d0 < 260 and d1 = 33")
+
+
+@query(f"SELECT d0, CASE WHEN d0 >= 990 AND d0 < 1010 THEN -1.5::DOUBLE ELSE value END AS value FROM {V}")
+def stored_assign(spark, sf_dir):
+    a = _saved(array_v(spark, sf_dir), "assign", fill_value=0.0)
+    return replace(a, writeable=True).fill_box(-1.5, (990, 1010)).df
+
+
+@query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V} WHERE d0 < 700")
+def stored_append(spark, sf_dir):
+    a = _saved(array_v(spark, sf_dir), "append", fill_value=0.0)
+    return replace(a, writeable=True).append(a.slice((0, 700))).df
+
+
 @query(
-    "SELECT d0, round(sum(x * w) / sum(w), 6) AS value FROM (SELECT vec_id AS d0, "
-    "unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1))::DOUBLE AS w "
-    "FROM embeddings) GROUP BY d0"
+    f"SELECT d0, coalesce(value, -9.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events))) AS d0) g "
+    f"LEFT JOIN {V} v USING (d0) WHERE d0 < 1234 UNION ALL SELECT unnest(range(1234, 3000)), -9.0::DOUBLE"
 )
-def weighted_mean(spark, sf_dir: str) -> DataFrame:
-    cells = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "value")
+def stored_resize(spark, sf_dir):
+    a = replace(_saved(array_v(spark, sf_dir), "resize", fill_value=-9.0), writeable=True)
+    return a.resize(1234).resize(3000).df
+
+
+@query(f"SELECT d0, value FROM {L}")
+def stored_fill_as_missing(spark, sf_dir):
+    a = _saved(array_l(spark, sf_dir), "missing", fill_value=-1)
+    return ArrayFrame.open(spark, a.store, a.path, fill_as_missing=True).df.where("value is not null")
+
+
+@query(f"SELECT count(DISTINCT d0 // 10) AS k, (SELECT (max(doc_id) + 10) // 10 FROM documents) AS n FROM {L}")
+def stored_chunks_initialized(spark, sf_dir):
+    info = _saved(array_l(spark, sf_dir), "initialized", fill_value=-1).info()
+    parts = F.split("chunks_initialized", "/")
+    return info.select(parts[0].cast("bigint").alias("k"), parts[1].cast("bigint").alias("n"))
+
+
+def _small_e(spark, sf_dir) -> ArrayFrame:
+    return _saved(array_e(spark, sf_dir), "store", fill_value=0.0)
+
+
+@query(ALL_E)
+def store_roundtrip_directory(spark, sf_dir):
+    a = _small_e(spark, sf_dir)
+    return ArrayFrame.open(spark, FileStore(a.store.uri), a.path).df
+
+
+@query(ALL_E)
+def store_roundtrip_zip(spark, sf_dir):
+    import io
+
+    a, out = _small_e(spark, sf_dir), io.BytesIO()
+    write_zip(a.store, out)
+    return ArrayFrame.open(spark, ZipStore(out.getvalue()), a.path).df
+
+
+@query(ALL_E)
+def store_roundtrip_cached(spark, sf_dir):
+    a = cached_array(_small_e(spark, sf_dir), scratch(spark, "cache"))
+    a.df.count()
+    return a.df
+
+
+@query(ALL_E)
+def store_roundtrip_consolidated(spark, sf_dir):
+    where = scratch(spark, "group")
+    group = Group.create(spark, where)
+    array_e(spark, sf_dir).save(open_store(where), "e")
+    group.consolidate()
+    return open_node(spark, where, consolidated=True)["e"].df
+
+
+@query(f"SELECT d0, d1, value FROM {E} WHERE d0 < 200")
+def store_roundtrip_http(spark, sf_dir):
+    """A web server on the driver's own machine, so this is for a local master; rows are read
+    before it stops."""
+    a = _small_e(spark, sf_dir)
+    server = serve(a.store)
+    try:
+        web = HttpStore(f"http://127.0.0.1:{server.server_address[1]}")
+        return spark.createDataFrame(ArrayFrame.open(spark, web, a.path).slice((0, 200)).df.toArrow())
+    finally:
+        server.shutdown()
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, {rank}::BIGINT AS rank, (SELECT max({axis}) + 1 FROM {name}) AS length"
+        for name, axis, rank in (("embeddings", "vec_id", 2), ("events", "event_id", 1), ("orders", "o_orderkey", 1))
     )
-    w, x = (F.col("d1") + 1).cast("double"), F.col("value").cast("double")
-    return cells.groupBy("d0").agg(F.round(F.sum(x * w) / F.sum(w), 6).alias("value"))
+)
+def group_catalog(spark, sf_dir):
+    group = Group.create(spark, scratch(spark, "catalog"))
+    for name, a in (("embeddings", array_e(spark, sf_dir)), ("events", array_v(spark, sf_dir)), ("orders", array_o(spark, sf_dir))):
+        group.create_array(name, a.meta.dtype.tag, a.shape, chunks=a.meta.chunks)
+    return group.catalog().select("name", F.size("shape").cast("bigint").alias("rank"), F.col("shape")[0].alias("length"))
