@@ -471,10 +471,10 @@ def pushed_filter(spark, sf_dir):
     return _saved(array_e(spark, sf_dir), "pushed").df.where("d0 >= 210 and d0 < 260 and d1 = 33")
 
 
-@query(f"SELECT d0, CASE WHEN d0 >= 990 AND d0 < 1010 THEN -1.5::DOUBLE ELSE value END AS value FROM {V}")
+@query(f"SELECT d0, CASE WHEN d0 >= 490 AND d0 < 510 THEN -1.5::DOUBLE ELSE value END AS value FROM {V}")
 def stored_assign(spark, sf_dir):
     a = _saved(array_v(spark, sf_dir), "assign", fill_value=0.0)
-    return replace(a, writeable=True).fill_box(-1.5, (990, 1010)).df
+    return replace(a, writeable=True).fill_box(-1.5, (490, 510)).df
 
 
 @query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V} WHERE d0 < 700")
@@ -485,11 +485,11 @@ def stored_append(spark, sf_dir):
 
 @query(
     f"SELECT d0, coalesce(value, -9.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events))) AS d0) g "
-    f"LEFT JOIN {V} v USING (d0) WHERE d0 < 1234 UNION ALL SELECT unnest(range(1234, 3000)), -9.0::DOUBLE"
+    f"LEFT JOIN {V} v USING (d0) WHERE d0 < 234 UNION ALL SELECT unnest(range(234, 3000)), -9.0::DOUBLE"
 )
 def stored_resize(spark, sf_dir):
     a = replace(_saved(array_v(spark, sf_dir), "resize", fill_value=-9.0), writeable=True)
-    return a.resize(1234).resize(3000).df
+    return a.resize(234).resize(3000).df
 
 
 @query(f"SELECT d0, value FROM {L}")

@@ -137,7 +137,9 @@ class ArrayReader(DataSourceReader):
         step = max(1, TASK_BYTES // max(1, each), -(-n // MAX_TASKS))
         return [Chunks(i, min(i + step, n)) for i in range(0, n, step)]
 
-    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there are no partitions
+            return
         ranges = self.plan.chunk_ranges()
         for i in range(partition.first, partition.last):
             place = []
