@@ -417,7 +417,7 @@ def train(
         "toxic-units",
     )
     share = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    prior = ((share[0] or 0) + 0.5) / (share[1] + 1)
+    prior = ((share[0] or 0) + 0.5) / (share[1] + 2)
     flat = Model(None, None, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     # so many toxic sentences that chance alone would give no unit as many
     base = sentences.agg(F.avg("toxic")).first()[0] or 0.0
