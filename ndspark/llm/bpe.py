@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import binary_texts, small_batches
 
 END = ""  # added to the last symbol of a word while merging
-MEMO = 1_000_000  # distinct chunks, and distinct words, that a worker remembers
+MEMO = 250_000  # distinct chunks, and distinct words, that a worker remembers
 BLOCK = 4096  # symbols that the transducer reads before it looks for stable tokens
 
 

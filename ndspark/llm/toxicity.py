@@ -44,7 +44,7 @@ RIDGE = 0.1
 BIAS = -1.0  # what is like no landmark is clean
 CLEAN_WEIGHT = 4.0  # of all clean units together; a document has many and few may be wrong
 FOLDS, HELD_OUT = 5, 0
-MEMO = 500_000  # tokens whose scores a worker remembers
+MEMO = 250_000  # tokens whose scores a worker remembers
 
 _PIECES = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
