@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary_texts, small_batches, stage, unstage
 from .components import components
@@ -249,12 +250,26 @@ def near_duplicates(
     )
 
 
+def _marked(text: str):
+    def run(batches):
+        for batch in small_batches(batches, text):
+            found = [f"{fingerprint(x):016x}" for x in binary_texts(batch, text)]
+            yield batch.append_column("_fp", pa.array(found, pa.string()))
+
+    return run
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of docs for each component, with all its columns: that with the least key. Of
     several rows with that key one stays. Rows without a key go if a row with one is in their
-    component; else one stays for each distinct text."""
+    component; else one stays for each distinct fingerprint."""
     found = near_duplicates(docs, key, text, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    stays = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    once = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(0)
-    return stays.withColumn("_once", once).dropDuplicates([key, "_once"]).select(docs.columns)
+    kept = found.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key))
+    # both steps deal out by the key, so the texts are shuffled once
+    stays = docs.join(kept.distinct(), key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    alone = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("_fp")).distinct()
+    if alone.isEmpty():
+        return stays
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.StringType())])
+    bare = docs.where(F.col(key).isNull()).mapInArrow(_marked(text), schema)
+    return stays.unionAll(bare.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(docs.columns))

@@ -77,6 +77,8 @@ def test_deduplicate_and_empty(spark):
     docs = spark.createDataFrame(rows, DOCS)
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", "de", "y"), (7, "quite another text of words", "en", None)]
+    bare = spark.createDataFrame([(None, "no id", "x", None), (None, "No  id", "y", None), (2, "with an id here", "z", None)], DOCS)
+    assert sorted(r["text"].lower().split() for r in simhash.deduplicate(bare).collect()) == [["no", "id"], ["with", "an", "id", "here"]]
     none = simhash.near_duplicates(docs.limit(0))
     assert none.columns == ["doc_id", "fingerprint", "component_id"] and none.count() == 0
     assert simhash.deduplicate(docs.limit(0)).count() == 0
