@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, new_folder, small_batches
+from .common import binary_texts, least_by_hash, new_folder, small_batches
 
 MAGIC = b"NDTOKEN1"
 HEAD, TAIL = 48, 16
@@ -133,13 +133,12 @@ def train_dictionary(
 ) -> bytes:
     """A dictionary from the first SAMPLE_BYTES of the id arrays of at most `sample` documents,
     those least by the hash of their key. Empty if they hold too little to train on."""
-    chosen = (
-        docs.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"))
-        .select("h", "k", F.substring(F.col("t"), 1, 4 * SAMPLE_BYTES).alias("t"))
-        .orderBy("h", "k", "t")
-        .limit(sample)
-        .collect()
-    )
+    # keys alone are sorted; then only rows up to the last hash bring their texts
+    last = least_by_hash(docs.select(key), [key], sample).agg(F.max(F.xxhash64(key))).first()[0]
+    if last is None:
+        return b""
+    start = F.substring(F.col(text), 1, 4 * SAMPLE_BYTES).alias("t")
+    chosen = docs.where(F.xxhash64(key) <= last).select(start).limit(sample).collect()
     raws = [(r["t"] or "").encode("utf-8", "surrogatepass") for r in chosen]
     packed = [_pack(x, width, None)[:SAMPLE_BYTES] for x in ChunkTokenizer(path).encode_all(raws)]
     packed = [x for x in packed if len(x) >= 64]
