@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_texts, small_batches, stage, unstage
+from .common import binary_texts, least_by_hash, small_batches, stage, unstage
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -235,7 +235,7 @@ def near_duplicates(
             "doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id")
         )
         return empty
-    some = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    some = least_by_hash(nodes.select("fp"), ["fp"], sample).collect()
     plan = fit(np.array([r[0] for r in some], np.int64).view(np.uint64), n, tau)
     roots = components(links(nodes.select("fp"), plan, tau, bucket_limit), "simhash-links")
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select(

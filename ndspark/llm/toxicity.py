@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, small_batches, stage, unstage
+from .common import binary_texts, least_by_hash, small_batches, stage, unstage
 
 DECAY = 0.6
 SPAN = 7  # characters that a subsequence covers at most
@@ -389,15 +389,13 @@ def train(
 ) -> Model:
     """A model from at most train_docs labelled documents whose ids are not held out (those
     least by the hash of their id). Ids with several or null labels: the largest not null."""
-    chosen = stage(
+    usable = (
         labels.select(F.col(label_key).alias("id"), F.col(label).cast("int").alias("toxic"))
         .where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id"))
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(train_docs),
-        "toxic-labels",
     )
+    chosen = stage(least_by_hash(usable, ["id"], train_docs), "toxic-labels")
     # the labels are at most train_docs rows of two numbers
     rows = stage(
         docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id"),
@@ -425,7 +423,7 @@ def train(
     pos = units.where(f"pos >= {least} and pos >= 4 * neg").orderBy(F.desc("pos"), "unit").limit(POSITIVE).collect()
     negative = units.where("neg >= 1 and 4 * neg > pos")
     neg = negative.orderBy(F.desc("neg"), "unit").limit(NEGATIVE // 2).collect()
-    neg += negative.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE // 2).collect()
+    neg += least_by_hash(negative, ["unit"], NEGATIVE // 2).collect()
     if not pos or not neg:
         unstage(chosen, rows, sentences, units)
         return flat
