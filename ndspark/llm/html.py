@@ -38,12 +38,12 @@ DROPPED_ROLES = frozenset(
 )
 # Words of a class or id that mark what is not the article.
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb "
+    "ad ads adv alert alerts aside advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb "
     "breadcrumbs combx comment comments commentlist community consent cookie cookies copyright cookiebar "
     "cookiebanner disclaimer discussion disqus disqusthread feedback foot footer footnav form gdpr header "
     "masthead menu menus modal nav navbar navigation navi newsletter notice notices notification pager "
-    "pagination paywall popup print promo promoted promotion related recommended remark replies reply "
-    "respond rss share sharing shoutbox sidebar sidebars sidenav skip skyscraper social sponsor sponsored "
+    "pagination paywall popup print promo promoted promotion reactions related recommended remark replies reply "
+    "respond responses rss share sharing shoutbox sidebar sidebars sidenav skip skyscraper social sponsor sponsored "
     "subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 LIKELY = frozenset("article body content entry main post story text".split())
