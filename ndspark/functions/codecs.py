@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import warnings
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -406,6 +407,7 @@ def _v3_transpose(c: dict, _) -> Transpose | str:
     if isinstance(order, str):
         if order not in ("C", "F"):
             raise ArgumentError(f"transpose order {order!r} is not known")
+        warnings.warn(f"transpose order {order!r} is out of date; give the axes", stacklevel=2)
         return order
     if sorted(order) != list(range(len(order))):
         raise ArgumentError(f"{order} is not an order of axes")

@@ -44,6 +44,8 @@ class ArrayMeta:
             object.__setattr__(self, "encoding", keys.parse("v2" if self.format == 2 else "default"))
         if self.format == 3 and self.filters:
             raise ArgumentError("format 3 has codecs, not filters")
+        if self.format == 3 and self.dtype.is_object:
+            raise ArgumentError("texts and ragged arrays are stored in format 2 only")
         if self.format == 3 and self.fill_value is None:
             object.__setattr__(self, "fill_value", self.dtype.zero())
         if self.format == 2 and self.dtype.is_object and not self.filters:

@@ -153,3 +153,20 @@ def test_layout_and_translation():
     with pytest.raises(ArgumentError):
         make_compressor({"id": "blosc", "cname": "odd"}, dtype.parse_v2("<i4"))
     assert json.dumps(np.int64(1).item())
+
+
+def test_old_transpose_names_and_texts_in_format_3():
+    kind, x = dtype.parse_v2("<i2"), np.arange(6, dtype="<i2").reshape(2, 3)
+    with pytest.warns(UserWarning, match="out of date"):
+        made = make_v3_pipeline([{"name": "transpose", "configuration": {"order": "F"}}, {"name": "bytes"}], kind, (2, 3))
+    assert made.encode(x) == x.T.tobytes()
+    with pytest.raises(ArgumentError):
+        ArrayMeta((1,), (1,), dtype.parse_v3("string"), format=3)
+
+
+def test_api_names():
+    import ndspark
+
+    assert all(getattr(ndspark, n) for n in ndspark._NAMES)
+    with pytest.raises(AttributeError):
+        ndspark.nothing
