@@ -31,11 +31,8 @@ def _turns(df: DataFrame, side: str, key: str, turn: str, role: str, text: str)
     said = F.struct(
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    empty = F.lit(None).cast("struct<role:string,text:string>")
-    sides = {"chosen": (said, empty), "rejected": (empty, said)}[side]
-    return df.where(F.col(key).isNotNull() & F.col(turn).isNotNull()).select(
-        F.col(key).alias("pair_id"), F.col(turn).alias("turn"), sides[0].alias("c"), sides[1].alias("r")
-    )
+    rows = df.where(F.col(key).isNotNull() & F.col(turn).isNotNull())
+    return rows.groupBy(F.col(key).alias("pair_id"), F.col(turn).alias("turn")).agg(F.min(said).alias(side))
 
 
 def format_preferences(
@@ -56,10 +53,9 @@ def format_preferences(
     are left out; of several rows for one turn of a side the least by role, then text, counts.
     Other columns are not read. Empty tables give an empty result.
     """
-    both = _turns(chosen, "chosen", key, turn, role, text).unionByName(
-        _turns(rejected, "rejected", key, turn, role, text)
+    turns = _turns(chosen, "c", key, turn, role, text).join(
+        _turns(rejected, "r", key, turn, role, text), ["pair_id", "turn"], "full"
     )
-    turns = both.groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
     split = (
         turns.where(~F.col("c").eqNullSafe(F.col("r")))
         .groupBy(F.col("pair_id").alias("own"))
@@ -97,10 +93,14 @@ def swapped_answers(conversations: DataFrame) -> DataFrame:
     )
     donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"))
     swaps = last.select("conv_id", "last").join(donors, "conv_id", "left")
-    kept = turns.join(last.select("conv_id", "last"), "conv_id").where("turn < last")
-    return kept.select("conv_id", "turn", "role", "text").unionByName(
-        swaps.select(
-            "conv_id", F.col("last").alias("turn"), F.lit(TARGET_ROLE).alias("role"),
-            F.coalesce("other", F.lit("")).alias("text"),
-        )
+    swapped = F.col("turn") == F.col("last")
+    return (
+        turns.join(swaps, "conv_id")
+        .where("turn <= last")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(swapped, F.lit(TARGET_ROLE)).otherwise(F.col("role")).alias("role"),
+            F.when(swapped, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"),
+        )
     )
