@@ -31,6 +31,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 SAMPLE = 1 << 14  # fingerprints that the partitioning is fitted on
 BUCKET_LIMIT = 128
+ROW_COST = 16  # of a probe, which is shuffled and sorted, against a candidate, which is one comparison
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -108,17 +109,18 @@ def _pairs(values: np.ndarray) -> float:
 
 
 def _estimates(sample: np.ndarray, group: list[int], n: int, most: int) -> list[float]:
-    """Estimated rows and candidate pairs for thresholds 0..most of one partition, at n rows."""
+    """Estimated cost of probes and candidate pairs for thresholds 0..most of one partition, at
+    n fingerprints."""
     mask = np.uint64(sum(1 << b for b in group))
     own, w = sample & mask, len(group)
     scale = (n / max(1, len(sample))) ** 2
     same = _pairs(own)
-    out = [n + same * scale]
+    out = [ROW_COST * n + same * scale]
     if most >= 1:
         near = same + sum(max(0.0, _pairs(own & ~np.uint64(1 << b)) - same) for b in group)
-        out.append(n * (1 + w) + near * scale)
+        out.append(ROW_COST * n * (1 + w) + near * scale)
     if most >= 2:
-        out.append(n * (1 + w + w * (w - 1) / 2) + near * scale * w)
+        out.append(ROW_COST * n * (1 + w + w * (w - 1) / 2) + near * scale * w)
     return out
 
 
