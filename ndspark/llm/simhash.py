@@ -177,8 +177,9 @@ def links(nodes: DataFrame, plan: Plan, tau: int = 2, bucket_limit: int = BUCKET
     """nodes: distinct `fp`. Returns (a, b) of verified links that connect every pair of
     fingerprints within tau bits: all of them for small buckets, a star for each midpoint
     for large ones (tau 2 only; else all buckets are paired)."""
-    index = _keys(nodes, plan, False)
-    probes = index if max(plan.thresholds) <= 0 else _keys(nodes, plan, True)
+    # read by several steps below: written once, however many of them there are
+    index = stage(_keys(nodes, plan, False), "simhash-index")
+    probes = index if max(plan.thresholds) <= 0 else stage(_keys(nodes, plan, True), "simhash-probes")
     near = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= tau
     if tau != 2:
         return (
