@@ -1,0 +1,189 @@
+"""Near copies by the Jaccard similarity of their sets of word shingles, exactly.
+
+Two sets of similarity 4/5 or more share a shingle among the first n - ceil(4n/5) + 1 of each,
+in any one order of all shingles. Those are the index; every pair that meets in a bucket of it
+and can still reach the threshold is verified on the whole sets. The order has shingles that
+are common in a sample last, which steers cost only.
+
+A bucket of more than `bucket_limit` sets is not paired up at once: links to a few members that
+are drawn by hash come first, and then only pairs that are not linked yet are verified.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import binary_texts, small_batches, stage, unstage
+from .components import components
+
+SHINGLE_WORDS = 5
+SEED = 42
+SAMPLE = 1 << 14  # texts in which common shingles are counted
+COMMON = 1 << 16  # shingles that the order knows as common
+BUCKET_LIMIT = 128
+DRAWN = 8  # members of a large bucket that the others are compared with in a round
+ROUNDS = 2
+SENT = 1 << 20  # signatures that are broadcast; for more, the sets are shuffled
+
+
+def shingles(raw: bytes | None) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending. A text of fewer words is one shingle; no
+    words: none."""
+    words, k, digest = (raw or b"").lower().split(), SHINGLE_WORDS, xxhash.xxh64_intdigest
+    if not words:
+        return np.empty(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= k:
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    spans = zip([0, *ends], ends[k - 1 :], strict=False)
+    return np.unique(np.fromiter((digest(line[s : e - 1], SEED) for s, e in spans), np.uint64, len(words) - k + 1))
+
+
+def _signature(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def _ordered(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return found
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.lexsort((found, np.where(common[at] == found, counts[at], 0)))]
+
+
+def _sets(key: str, text: str, common: np.ndarray, counts: np.ndarray):
+    def run(batches):
+        for batch in small_batches(batches, text, 4 << 20):
+            found = [shingles(x) for x in binary_texts(batch, text)]
+            signed = np.array([_signature(x) for x in found], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *(_ordered(x, common, counts) for x in found)])
+            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(signed), toks], names=["doc_id", "sig", "toks"])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, sig, toks) of every row: the hashes in the common order, and the set's own."""
+    schema = f"doc_id {dict(docs.dtypes)[key]}, sig long, toks array<long>"
+    none, rows = np.empty(0, np.uint64), docs.select(key, text)
+    share = min(1.0, sample / max(1, docs.count()))
+    some = rows.where(F.xxhash64(text) <= int(-(1 << 63) + ((1 << 64) - 1) * share)) if share < 1 else rows
+    often = (
+        some.mapInArrow(_sets(key, text, none, none), schema).select(F.explode("toks").alias("h"))
+        .groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    )
+    common = np.array([r["h"] for r in often], np.int64).view(np.uint64)
+    counts, order = np.array([r["count"] for r in often], np.int64), np.argsort(common)
+    return rows.mapInArrow(_sets(key, text, common[order], counts[order]), schema)
+
+
+def _candidates(x: DataFrame, y: DataFrame, also) -> DataFrame:
+    """(a, b) of rows of two parts of the index that meet and can reach the threshold: what is
+    left of both from the shared shingle on bounds what they share, if it is the first."""
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    reach = 9 * left >= 4 * (F.col("x.n") + F.col("y.n"))
+    met = x.alias("x").join(y.alias("y"), "h").where(reach & also)
+    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those (a, b) whose sets have similarity 4/5 or more."""
+    pairs = stage(pairs, "near-pairs")
+    held = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct()
+    if held.count() <= SENT:
+        held = F.broadcast(held)
+    own = stage(sets.join(held, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "toks"), "near-held")
+    x, y = own.toDF("a", "x"), own.toDF("b", "y")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    done = stage(linked, "near-verified")
+    unstage(pairs, own)
+    return done
+
+
+def _placed(index: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the index with the root of each, of buckets with more than one; the links."""
+    roots = stage(components(edges, "near-links"), "near-roots")
+    rows = index.join(roots, index.sig == roots.node, "left").select(
+        "h", "sig", "n", "at", F.coalesce("root", "sig").alias("root")
+    )
+    split = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    return stage(rows.join(split, "h", "left_semi"), "near-placed"), roots.toDF("a", "b")
+
+
+def links(sets: DataFrame, bucket_limit: int = BUCKET_LIMIT, rounds: int = ROUNDS) -> DataFrame:
+    """sets: `sig`, `toks`, repeats allowed. Returns (a, b) of links that connect every pair of
+    signatures whose sets have similarity 4/5 or more, and no others."""
+    part = F.expr("slice(toks, 1, cast(size(toks) - (4 * size(toks) + 4) div 5 + 1 as int))")
+    rows = sets.where(F.size("toks") > 0).select(
+        "sig", F.size("toks").alias("n"), F.posexplode(part).alias("at", "h")
+    )
+    # dealt out once: both sides of the join read all columns of one exchange
+    rows, row = rows.repartition("h"), F.struct("sig", "n", "at")
+    shared = rows.groupBy("h").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo < hi").select("h")
+    index = stage(rows.join(shared, "h", "left_semi").dropDuplicates(["h", "sig"]), "near-index")
+    large = stage(index.groupBy("h").count().where(F.col("count") > bucket_limit).select("h"), "near-large")
+    less = F.col("x.sig") < F.col("y.sig")
+    small = index.join(large, "h", "left_anti")
+    edges = _verified(_candidates(small, small, less), sets)
+    if large.isEmpty():
+        return edges
+    index = stage(index.join(large, "h", "left_semi"), "near-large-index")
+    apart = F.col("x.root") != F.col("y.root")
+    for k in range(rounds):
+        placed, edges = _placed(index, edges)
+        row = F.struct("sig", "n", "at", "root")
+        drawn = [F.min_by(row, F.xxhash64("sig", F.lit(k * DRAWN + i))) for i in range(DRAWN)]
+        chosen = placed.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("d"))
+        chosen = chosen.select("h", F.explode("d").alias("d")).select("h", "d.*")
+        edges = edges.unionAll(_verified(_candidates(placed, chosen, apart), sets))
+    placed, edges = _placed(index, edges)
+    counted = placed.groupBy("h", "root").count()
+    most = counted.groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    placed = stage(placed.join(most, "h"), "near-rest")
+    rest = placed.where("root != most")
+    pairs = _candidates(rest, placed, apart & (less | (F.col("y.root") == F.col("y.most"))))
+    return edges.unionAll(_verified(pairs, sets))
+
+
+def _marked(text: str):
+    def run(batches):
+        for batch in small_batches(batches, text):
+            found = np.array([_signature(shingles(x)) for x in binary_texts(batch, text)], np.uint64)
+            yield batch.append_column("_sig", pa.array(found.view(np.int64)))
+
+    return run
+
+
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bucket_limit: int = BUCKET_LIMIT
+) -> DataFrame:
+    """One row of docs for each component of texts whose five-word shingle sets have a Jaccard
+    similarity of 4/5 or more, with all its columns: that with the least key. Of several rows
+    with that key one stays. Rows without a key go if a row with one is in their component;
+    else one stays. Texts without words are copies of each other. `sample` and
+    `bucket_limit` steer cost only."""
+    sets = stage(shingle_sets(docs, key, text, sample), "near-sets")
+    roots = components(links(sets.select("sig", "toks"), bucket_limit), "near-links")
+    rows = sets.select("doc_id", "sig").join(roots, F.col("sig") == F.col("node"), "left")
+    rows = rows.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("doc_id").alias("least"))
+    found = stage(rows, "near-kept")
+    unstage(sets)
+    kept = found.where("least is not null").select(F.col("least").alias(key))
+    # both steps deal out by the key, so the texts are shuffled once
+    stays = docs.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    alone = found.where("least is null").select(F.col("root").alias("_sig"))
+    if alone.isEmpty():
+        return stays
+    schema = T.StructType([*docs.schema.fields, T.StructField("_sig", T.LongType())])
+    bare = docs.where(F.col(key).isNull()).mapInArrow(_marked(text), schema)
+    return stays.unionAll(bare.join(alone, "_sig", "left_semi").dropDuplicates(["_sig"]).select(docs.columns))
