@@ -2,8 +2,9 @@
 
 Every paragraph-like block passes points for its length and its commas to the elements above
 it: all to the parent, half to the grandparent, then a third, and so on. An element's score is
-discounted by the share of its text that lies in links. The best container is the article;
-blocks of siblings that score enough, or that are plain prose, are kept with it.
+discounted by the share of its text that lies in links. The best container is the article, or,
+if it is no article element, a part of it: elements with prose beside it and beside the elements
+around it are kept with what lies between them.
 """
 
 from __future__ import annotations
@@ -46,7 +47,12 @@ UNLIKELY = frozenset(
     "respond responses rss share sharing shoutbox sidebar sidebars sidenav skip skyscraper social sponsor sponsored "
     "subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+# A name with one of these tells a state of the element, such as "has-sidebar", not its kind.
+STATES = frozenset("has have with without no not is enabled disabled on off open closed".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus disqusthread replies reply respond responses".split())
 LIKELY = frozenset("article body content entry main post story text".split())
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+LISTS = frozenset("ul ol dl dir".split())
 NO_NEST_IN_P = BLOCK - frozenset(("html", "body"))
 ENDS = {  # an open element on the left is ended by a start tag on the right
     "p": NO_NEST_IN_P,
@@ -67,47 +73,92 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z)",
     re.S,
 )
-_MARK = re.compile(
-    r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I
-)
+_MARK = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "likely", "dropped", "link", "score", "chars", "linked", "scored")
+    __slots__ = ("tag", "parent", "likely", "dropped", "unlikely", "holds", "link", "score", "chars", "linked", "scored")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: int):
-        self.tag, self.parent, self.likely = tag, parent, likely
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: int, unlikely: frozenset = frozenset()):
+        self.tag, self.parent, self.likely, self.unlikely = tag, parent, likely, unlikely
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.link = tag == "a" or (parent is not None and parent.link)
-        self.score, self.scored, self.chars, self.linked = 0.0, False, 0, 0
+        self.score, self.scored, self.chars, self.linked, self.holds = 0.0, False, 0, 0, False
+
+
+def _above(x: Node | None):
+    while x is not None:
+        yield x
+        x = x.parent
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether attributes rule an element out, and a bonus for a name such as "content"."""
-    dropped, likely = tag in DROPPED, 0
+def _marks(tag: str, attributes: str) -> tuple[bool, int, frozenset]:
+    """Whether an element is ruled out, a bonus for a name such as "content", and the words of
+    its names that make a block unlikely to be the article's."""
+    dropped, likely, unlikely = tag in DROPPED, 0, frozenset()
+    seen, plain = set(), False
     for m in _MARK.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if name in seen:  # the first of several counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            if words & UNLIKELY and tag not in ("html", "body", "article", "main"):
-                dropped = True
-            likely = max(likely, 25 * bool(words & LIKELY))
+            for token in value.split():
+                words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                if not words & STATES:
+                    unlikely |= words & UNLIKELY
+                likely = max(likely, 25 * bool(words & LIKELY))
+                plain |= token.lower() in LIKELY
         elif name == "role":
             dropped |= value.strip().lower() in DROPPED_ROLES
         elif name == "style":
             dropped |= bool(_HIDDEN.search(value))
-        elif name == "hidden" or value.strip().lower() == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             dropped = True
-    return dropped, likely
+    if plain or tag in ("html", "body", "article", "main"):
+        unlikely = frozenset()
+    # text of inline elements is part of a block's
+    return dropped or bool(unlikely) and tag not in BLOCK, likely, unlikely
+
+
+def _without_unlikely(blocks: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
+    """The blocks outside unlikely elements. Their names do not count where they hold the first
+    article or main element, or, if none lies outside them, most of the prose."""
+    if not any(x.unlikely for x in nodes):
+        return blocks
+    marks = [x for x in nodes if x.tag in ("article", "main")]
+    first = [next((x for x in marks if x.tag == tag), None) for tag in ("article", "main")]
+    for x in first:
+        for y in _above(x):
+            y.holds = True
+    prose: dict[int, int] = {}
+    for node, text, linked in blocks:
+        for x in _above(node):
+            prose[id(x)] = prose.get(id(x), 0) + len(text) - linked
+    total = sum(len(text) - linked for _, text, linked in blocks)
+    verdicts: dict[int, bool] = {}
+    inside: dict[int, int] = {}
+    for mark in marks:
+        for x in _above(mark):
+            inside[id(x)] = inside.get(id(x), 0) + 1
+
+    def out(x: Node) -> bool:
+        if id(x) not in verdicts:
+            others = inside.get(id(x), 0) < len(marks)
+            holds = x.holds and not (others and x.unlikely & COMMENTS)
+            verdicts[id(x)] = not (holds or not others and 2 * prose.get(id(x), 0) > total)
+        return verdicts[id(x)]
+
+    return [b for b in blocks if not any(x.unlikely and out(x) for x in _above(b[0]))]
 
 
 def _blocks(source: str) -> list[tuple[Node, str, int]]:
     """The blocks in page order: the element that holds each, its text, characters in links."""
     root = Node("#root", None, False, 0)
-    stack, blocks = [root], []
+    stack, blocks, nodes = [root], [], []
     parts: list[str] = []
     linked, owner = 0, root
 
@@ -191,8 +242,10 @@ def _blocks(source: str) -> list[tuple[Node, str, int]]:
                 at = n if not close or gt < 0 else gt + 1
                 continue
             stack.append(node)
+            if not node.dropped:
+                nodes.append(node)
     flush()
-    return blocks
+    return _without_unlikely(blocks, nodes)
 
 
 def _share(x: Node) -> float:
@@ -201,14 +254,14 @@ def _share(x: Node) -> float:
 
 def main_text(source: str) -> str:
     """The article's blocks, one a line; empty if there is none."""
-    blocks = [b for b in _blocks(source) if not _boilerplate(b)]
+    blocks = _blocks(source)
     scored: list[Node] = []
     for node, text, linked in blocks:
-        x = node
-        while x is not None:
+        if _boilerplate((node, text, linked)):
+            continue
+        for x in _above(node):
             x.chars += len(text)
             x.linked += linked
-            x = x.parent
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         holder = node if node.tag in CONTAINER or node.parent is None else node.parent
         depth = 1
@@ -225,22 +278,63 @@ def main_text(source: str) -> str:
     final = {id(x): x.score * (1 - _share(x)) for x in scored}
     best = max(scored, key=lambda x: final[id(x)])
     top = final[id(best)]
-    limit, kept = max(10.0, 0.2 * top), {id(best)}
-    for x in scored:  # siblings that are part of the same text
-        if x.parent is best.parent and x is not best and final[id(x)] >= limit:
-            kept.add(id(x))
+    kept = {id(best)}
+    if best.tag in ("article", "main"):
+        # siblings that are part of the same text
+        kept |= {id(x) for x in scored if x.parent is best.parent and final[id(x)] >= 0.2 * top}
+    whole = [any(id(x) in kept for x in _above(node)) for node, _, _ in blocks]
+    chain = list(_above(best))
+    places = {id(x): k for k, x in enumerate(chain)}
+    branches = [_branch(b, places) for b in blocks]
+    for k, level in enumerate(chain[:-1]):
+        if level.tag in ("html", "body", "article", "main"):
+            break
+        _beside(k, level, blocks, branches, whole)
+    if best.tag in ("article", "main"):
+        for i, (node, text, linked) in enumerate(blocks):
+            whole[i] |= node.parent is best.parent and node.tag == "p" and _prose(text, linked)
+    page = best.tag in ("html", "body", "#root")
     out = []
-    for node, text, linked in blocks:
-        x = node
-        while x is not None and id(x) not in kept:
-            x = x.parent
-        beside = node.parent is best.parent and node.tag == "p" and best.tag not in ("html", "body", "#root")
-        prose = len(text) > 80 and linked < 0.25 * len(text) or re.search(r"[.!?]\W*$", text) and not linked
-        if x is not None or beside and prose:
-            out.append(text)
+    for b, (k, _), own in zip(blocks, branches, whole, strict=True):
+        # a list of links is the article's only inside it
+        if own and not (_boilerplate(b) and (page or k) and any(x.tag in LISTS for x in _above(b[0]))):
+            out.append(b[1])
     return "\n".join(out)
 
 
+def _branch(block: tuple[Node, str, int], places: dict[int, int]) -> tuple[int, object]:
+    """The place in the chain above the best container where a block joins it, and the child
+    there that holds the block, or the block itself."""
+    child: object = block
+    for x in _above(block[0]):
+        if id(x) in places:
+            return places[id(x)], child
+        child = x
+    raise AssertionError("a block outside the tree")
+
+
+def _prose(text: str, linked: int) -> bool:
+    return len(text) > 80 and linked < 0.25 * len(text) or bool(re.search(r"[.!?]\W*$", text)) and not linked
+
+
+def _beside(k: int, level: Node, blocks: list, branches: list[tuple[int, object]], whole: list[bool]) -> None:
+    """Marks what lies beside an element that holds the article or a part of it: siblings with
+    prose, however short, and all between the first and the last of them but link lists."""
+    at = [level if j <= k else child if j == k + 1 else None for j, child in branches]
+    parts = {id(level)}
+    for (node, text, linked), x in zip(blocks, at, strict=True):
+        if x is not None and (node.tag == "p" and _prose(text, linked) or len(text) > 80 and linked < 0.25 * len(text)):
+            parts.add(id(x))
+    ends = [i for i, x in enumerate(at) if x is not None and id(x) in parts]
+    if not ends:
+        return
+    first, last = ends[0], ends[-1]
+    while first and at[first - 1] is not None and blocks[first - 1][0].tag in HEADINGS:  # the first part's own
+        first -= 1
+    for i in range(first, last + 1):
+        whole[i] |= at[i] is not None and (id(at[i]) in parts or not _boilerplate(blocks[i]))
+
+
 def _start(x: Node) -> float:
     """Points by kind: an article element is one, a list rarely is."""
     own = {"article": 50.0, "main": 30.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0}.get(x.tag, 0.0)
