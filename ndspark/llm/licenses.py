@@ -91,6 +91,34 @@ SENTENCE_END = r"[.;:!?]+(?:[ \t\r\n]+|$)|[\r\n]+"
 # Every known sentence holds one of these; others need not be normalised.
 HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|free software|public domain"
 
+# The same for texts whose lines are wrapped: paragraphs end at blank lines, and sentences are
+# stored as the signs above cut them. SENTENCES and RULES stay as they are, as the SQL is made of them.
+WRAPPED_END = r"[.;:!?]+(?:[ \t\r\n]+|$)|\r?\n[ \t]*\r?\n\s*"
+LIST_NUMBER = "^([0-9]{1,2}|[a-z]|[ivx]{2,4})$"
+WRAPPED_SENTENCES = {
+    **SENTENCES,
+    "apache2_ref": [*SENTENCES["apache2_ref"], "licensed under the apache license version 2 0 the license"],
+    "apache_at": ["you may obtain a copy of the license at"],
+    "apache_url": ["http www apache org licenses license 2 0", "https www apache org licenses license 2 0"],
+    "gpl_is_free": ["this program is free software"],
+    "gpl_you_can": [
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published "
+        "by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl_no_warranty": [
+        "this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl_without_even": [
+        "without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "mpl2_form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "two_0": ["2 0"],
+}
+WRAPPED_RULES = [
+    *RULES,
+    ("GPL-3.0-or-later", ["gpl_is_free", "gpl_you_can", "gpl_no_warranty", "gpl_without_even"]),
+    ("Apache-2.0", ["apache2_ref", "apache_you_may", "apache_at", "apache_url"]),
+    ("GPL-3.0-or-later", ["gpl_is_free", "gpl_you_can"]),
+    ("MPL-2.0", ["mpl2_form", "two_0"]),
+]
+
 
 def _normal(sentence: Column) -> Column:
     lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +162,40 @@ def license_scan(
         F.size(F.filter("ids", lambda x: x != "-")).cast("long").alias("n_known"),
         F.regexp_replace(F.array_join("ids", ""), "-+", "-").alias("sequence"),
     )
+    return _with_licenses(rows, RULES if rules is None else rules)
+
+
+def wrapped_license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """license_scan for texts as they stand in files: a sentence may span lines, up to a blank
+    one, and list numbers do not part sentences. A sentence that is not known as a whole is
+    looked up line by line, so references on a line of their own are found as well. A sentence
+    that is wrapped needs a blank line or one of the signs before it."""
+    pairs = [F.lit(x) for i, own in WRAPPED_SENTENCES.items() for s in own for x in (s, f"<{i}>")]
+    table = F.create_map(*pairs)
+    full = F.split(F.coalesce(F.col(text), F.lit("")), WRAPPED_END, -1)
+
+    def looked_up(s: Column) -> Column:
+        return F.try_element_at(table, _normal(s))
+
+    def by_line(s: Column) -> Column:
+        lines = F.filter(F.split(s, r"[\r\n]+", -1), lambda x: x.rlike("[A-Za-z0-9]"))
+        return F.transform(lines, lambda x: F.coalesce(looked_up(x), F.lit("-")))
+
+    parts = F.filter(full, lambda s: s.rlike("[A-Za-z0-9]") & ~_normal(s).rlike(LIST_NUMBER))
+    ids = F.flatten(
+        F.transform(parts, lambda s: F.when(looked_up(s).isNotNull(), F.array(looked_up(s))).otherwise(by_line(s)))
+    )
+    rows = docs.select(F.col(key).alias("doc_id"), ids.alias("ids"))
+    rows = rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_sentences"),
+        F.size(F.filter("ids", lambda x: x != "-")).cast("long").alias("n_known"),
+        F.regexp_replace(F.array_join("ids", ""), "-+", "-").alias("sequence"),
+    )
+    return _with_licenses(rows, WRAPPED_RULES)
+
+
+def _with_licenses(rows: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     rest, hits = F.col("sequence"), []
     for name, pattern in ordered_rules(rules):
         hits.append(F.when(F.contains(rest, F.lit(pattern)), F.lit(name)))

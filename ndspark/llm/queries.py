@@ -149,6 +149,13 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_licenses_wrapped(spark, sf_dir: str) -> DataFrame:
+    from .licenses import wrapped_license_scan
+
+    return wrapped_license_scan(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
 WITH l AS (SELECT conv_id, max(turn) AS last, arg_max(coalesce(text, ''), turn) AS answer
