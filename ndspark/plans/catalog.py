@@ -483,6 +483,12 @@ def stored_append(spark, sf_dir):
     return replace(a, writeable=True).append(a.slice((0, 700))).df
 
 
+@query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V}")
+def stored_append_whole(spark, sf_dir):
+    a = _saved(array_v(spark, sf_dir), "append", fill_value=0.0)
+    return replace(a, writeable=True).append(a).df
+
+
 @query(
     f"SELECT d0, coalesce(value, -9.0::DOUBLE) AS value FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events))) AS d0) g "
     f"LEFT JOIN {V} v USING (d0) WHERE d0 < 234 UNION ALL SELECT unnest(range(234, 3000)), -9.0::DOUBLE"
@@ -540,19 +546,29 @@ def store_roundtrip_consolidated(spark, sf_dir):
     return open_node(spark, where, consolidated=True)["e"].df
 
 
-@query(f"SELECT d0, d1, value FROM {E} WHERE d0 < 200")
-def store_roundtrip_http(spark, sf_dir):
-    """A web server on the driver's own machine, so this is for a local master; rows are read
-    before it stops."""
+def _over_http(spark, sf_dir) -> ArrayFrame:
+    """The whole array, read from a web server on the driver's own machine, so for a local master,
+    and written to the scratch folder before the server stops."""
     a = _small_e(spark, sf_dir)
     server = serve(a.store)
     try:
         web = HttpStore(f"http://127.0.0.1:{server.server_address[1]}")
-        return spark.createDataFrame(ArrayFrame.open(spark, web, a.path).slice((0, 200)).df.toArrow())
+        return _saved(ArrayFrame.open(spark, web, a.path), "from-http", fill_value=0.0)
     finally:
         server.shutdown()
 
 
+@query(f"SELECT d0, d1, value FROM {E} WHERE d0 < 200")
+def store_roundtrip_http(spark, sf_dir):
+    """The whole array goes over HTTP; the rows are those that the SQL asks for."""
+    return _over_http(spark, sf_dir).slice((0, 200)).df
+
+
+@query(ALL_E)
+def store_roundtrip_http_whole(spark, sf_dir):
+    return _over_http(spark, sf_dir).df
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT '{name}' AS name, {rank}::BIGINT AS rank, (SELECT max({axis}) + 1 FROM {name}) AS length"
