@@ -243,7 +243,8 @@ def _probe(block: Block, key: str, text: str, first: bool, last: bool):
 def _blocks(
     benchmark: DataFrame, key: str, text: str, window: int, shingle: int, block_bytes: int
 ) -> Iterator[Block]:
-    """Blocks of whole items; the driver holds one item more than a block at most."""
+    """Blocks of whole items, one item more than a block read at a time. contamination() keeps
+    all blocks on the driver and in each worker: the whole benchmark must fit there."""
     items, size = [], 0
     for name, body in benchmark.select(F.col(key).cast("string"), text).toLocalIterator():
         words = words_of(body.encode("utf-8", "surrogatepass") if body is not None else None)
