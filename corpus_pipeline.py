@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ndspark.llm import bpe, decontaminate, nearcopies, toxicity
+from ndspark.llm import bpe, decontaminate, simhash, toxicity
 from ndspark.llm.common import stage
 
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.deduplicate(docs)
+    return simhash.deduplicate(docs, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,10 +14,8 @@ from .common import stage, unstage
 
 
 def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))
-    ).first()
-    return tuple(row)
+    """The number of edges, which are distinct, and the exclusive or of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

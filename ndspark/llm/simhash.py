@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .common import binary_texts, least_by_hash, small_batches, stage, unstage
 from .components import components
 
@@ -262,10 +263,17 @@ def _marked(text: str):
     return run
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None, **options
+) -> DataFrame:
     """One row of docs for each component, with all its columns: that with the least key. Of
     several rows with that key one stays. Rows without a key go if a row with one is in their
-    component; else one stays for each distinct fingerprint."""
+    component; else one stays for each distinct fingerprint.
+
+    With a similarity, texts link by the Jaccard similarity of their sets of five-word shingles
+    (similar.py) instead of by `tau` bits."""
+    if similarity is not None:
+        return similar.deduplicate(docs, key, text, similarity=similarity, **options)
     found = near_duplicates(docs, key, text, **options)
     kept = found.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key))
     # both steps deal out by the key, so the texts are shuffled once

@@ -15,6 +15,12 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def similar(a, b, k=5):
+    """Whether the sets of k-word shingles have a Jaccard similarity of 0.8 or more."""
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
 def classes(items, linked):
     """The least item that each one reaches."""
     root = {i: i for i in items}

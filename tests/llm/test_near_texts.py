@@ -1,22 +1,16 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from ndspark.llm import nearcopies
+from ndspark.llm import similar, simhash
 
 DOCS = "doc_id long, text string, lang string"
 
 
-def _set(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def _linked(a, b):
-    x, y = _set(a), _set(b)
-    return 10 * len(x & y) >= 8 * len(x | y)
+_linked = brute.similar
 
 
 def _texts(rng):
@@ -37,7 +31,7 @@ def test_near_copies_equal_brute_force(spark, limit, sample):
     rng = random.Random(limit)
     texts = dict(enumerate(_texts(rng), 3))
     docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], DOCS).repartition(5)
-    got = nearcopies.deduplicate(docs, sample=sample, bucket_limit=limit)
+    got = similar.deduplicate(docs, sample=sample, bucket_limit=limit, target=0.99999)
     root = brute.classes(sorted(texts), lambda a, b: _linked(texts[a], texts[b]))
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
@@ -47,8 +41,8 @@ def test_rows_without_a_key_and_empty_tables(spark):
     near = " ".join([*words[:30], "other", *words[31:]])
     rows = [(4, " ".join(words), "a"), (4, " ".join(words), "a"), (None, near, "b"), (None, "no id at all", "c"), (None, "No id  at all", "d"), (2, None, "e")]
     docs = spark.createDataFrame(rows, DOCS)
-    got = nearcopies.deduplicate(docs).collect()
-    assert sorted((r["doc_id"] or 0) for r in got) == [0, 2, 4] and nearcopies.deduplicate(docs.limit(0)).count() == 0
+    got = simhash.deduplicate(docs, similarity=0.8).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 2, 4] and simhash.deduplicate(docs.limit(0), similarity=0.8).count() == 0
 
 
 def test_the_stage_drops_near_copies_beyond_two_bits(spark, sf):
@@ -59,3 +53,47 @@ def test_the_stage_drops_near_copies_beyond_two_bits(spark, sf):
     assert (brute.fingerprint(rows[0][1]) ^ brute.fingerprint(rows[1][1])).bit_count() > 2 and _linked(rows[0][1], rows[1][1])
     docs = spark.createDataFrame(rows, DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3]
+
+
+def test_recall_of_the_plan_in_use():
+    found = total = 0
+    for seed in range(12):
+        texts = sorted({t for t in _texts(random.Random(seed)) if t})
+        fps = np.array([similar.fingerprint(similar.shingles(t.encode())) for t in texts])
+        plan = similar.fit(fps, len(fps))
+        filed = plan.buckets(fps)
+        assert plan.recall >= similar.TARGET
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if _linked(a, texts[j]):
+                    total += 1
+                    near = np.bitwise_count(fps[i] ^ fps[j])
+                    own = near[: similar.CHECKED].sum() <= similar.radius(64 * similar.CHECKED, 0.8)
+                    found += own and near.sum() <= similar.radius(64 * similar.LANES, 0.8) and (filed[i] == filed[j]).any()
+    assert total > 1000 and found >= 0.97 * total
+
+
+def test_wide_fingerprints_equal_their_definition():
+    found = similar.shingles(" ".join(f"a{i % 700}" for i in range(9000)).encode())
+    mixed = []
+    for salt in similar._SALTS[0].tolist():
+        own = []
+        for x in found.tolist():
+            x ^= salt
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+            own.append(x ^ (x >> 31))
+        mixed.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)))
+    assert similar.fingerprint(found).tolist() == mixed and len(found) == 700
+
+
+@pytest.mark.parametrize("n", [100, 10**5, 10**8])
+def test_thresholds_of_one_find_pairs_with_one_bit(n):
+    fps = np.random.default_rng(1).integers(0, 1 << 63, (200, similar.LANES), dtype=np.uint64)
+    plan = similar.Plan(((0, 5, 9, 77), (1, 2, 3, 4)), (1, 0), 0.0, 1.0)
+    near = fps.copy()
+    near[:, similar.CHECKED] ^= np.uint64(1 << 5)
+    near[:, similar.CHECKED] ^= np.uint64(1 << 2)
+    assert ((plan.buckets(fps) == plan.buckets(near)).sum(axis=1) == 1).all()
+    fitted = similar.fit(fps, n)
+    assert fitted.recall >= similar.TARGET and len({b for g in fitted.groups for b in g}) == sum(map(len, fitted.groups))
