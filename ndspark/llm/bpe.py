@@ -6,6 +6,11 @@ have a right part that starts with u, and moves the reach by its own left part.
 such chain is the merge list's sufficient lookahead. A token that ends that many symbols
 before the end of what has been read can't change any more; the transducer emits it and
 forgets its symbols, so it holds a constant number of symbols however long a word is.
+
+Every word goes through the transducer. A text is read in pieces, cut at white space or, where
+there is none, at a place that neither normalisation nor a pattern of words looks across; an
+open word stays in its transducer from piece to piece. Ids leave as they are found, and go
+straight into digests and decoders, so nothing grows with a text but the text itself.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from .common import binary_texts, small_batches
 END = ""  # added to the last symbol of a word while merging
 MEMO = 250_000  # distinct chunks, and distinct words, that a worker remembers
 BLOCK = 4096  # symbols that the transducer reads before it looks for stable tokens
+PIECE = 1 << 16  # bytes of a text that are read at once
+SHORT = 64  # characters of a word's part that waits for the next piece as text
 
 
 def _byte_chars() -> list[str]:
@@ -136,6 +143,9 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+_SPACES = b" \t\n\r\x0b\x0c"
+
+
 def _byte_symbols(word: str) -> str:
     return "".join([BYTE_CHARS[b] for b in word.encode("utf-8", "surrogatepass")])
 
@@ -179,51 +189,100 @@ def normalise(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset:
+    """Characters of combining class 0 that normalisation may join to the one before them."""
+    out = {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}  # parts of Hangul syllables
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+def _cut(text: str) -> int:
+    """The last place from 1 on where a text can be cut before normalisation; 0 if none."""
+    for i in range(len(text) - 1, 0, -1):
+        c = text[i]
+        if c < "\x80" or not unicodedata.combining(c) and c not in _joining():
+            return i
+    return 0
+
+
 class Encoder:
-    """Encodes whole texts; remembers the ids of recent chunks and words."""
+    """Encodes texts piece by piece; remembers the ids of recent chunks and words, a chunk being
+    what stands between white space, which no word spans."""
 
-    def __init__(self, vocab: Vocabulary, memo: int = MEMO):
-        self.vocab, self.limit = vocab, memo
+    def __init__(self, vocab: Vocabulary, memo: int = MEMO, piece: int = PIECE):
+        self.vocab, self.limit, self.piece = vocab, memo, piece
         self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
         self.marks = [x.encode() for x in vocab.special]
-        self.find = regex.compile(vocab.pattern).findall
-        self.specials = regex.compile("|".join(map(regex.escape, vocab.special)) or r"(?!)")
+        words = regex.compile(vocab.pattern)
+        self.find, self.iterate = words.findall, words.finditer
+        self.special = regex.compile(b"|".join(map(regex.escape, self.marks)) or rb"(?!)")
+        self.more = {True: regex.compile(r"\p{L}+"), False: regex.compile(r"[^\s\p{L}\p{N}]+")}
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            run, out = Transducer(self.vocab), array("I")
-            if len(word) <= BLOCK:
-                run.held = word if word.isalpha() and word.isascii() else _byte_symbols(word)
-            else:
-                for i in range(0, len(word), BLOCK):
-                    out.extend(run.feed(_byte_symbols(word[i : i + BLOCK])))
+            run = Transducer(self.vocab)
+            out = array("I", run.feed(word if word.isalpha() and word.isascii() else _byte_symbols(word)))
             out.extend(run.finish())
             found = out.tobytes()
-            if len(word) <= 64:
+            if len(word) <= SHORT:
                 if len(self.words) >= self.limit:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join([self._word(w) for w in self.find(normalise(text))])
-
-    def chunk(self, raw: bytes) -> bytes:
-        """The ids, as 32-bit integers, of a text without space, tab or line ends at its edges.
-        No word spans white space, so a text's ids are those of its chunks in order."""
-        text = raw.decode("utf-8", "surrogatepass")
-        if not any(s in text for s in self.vocab.special):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.specials.finditer(text):
-            out += [self._plain(text[at : m.start()]), array("I", [self.vocab.special[m[0]]]).tobytes()]
+    def _plain(self, raw: bytes) -> Iterator[bytes]:
+        """The ids of a text without special tokens or ASCII white space, of any length."""
+        if len(raw) <= self.piece:
+            yield b"".join([self._word(w) for w in self.find(normalise(raw.decode("utf-8", "surrogatepass")))])
+            return
+        utf8 = codecs.getincrementaldecoder("utf-8")("surrogatepass")
+        source = text = ""  # text read and not yet normalised; normalised and not yet encoded
+        run, letters = None, False  # the transducer of a word that is still open
+        for at in range(0, len(raw), self.piece):
+            last = at + self.piece >= len(raw)
+            source += utf8.decode(raw[at : at + self.piece], last)
+            cut = len(source) if last else _cut(source)
+            text, source = text + normalise(source[:cut]), source[cut:]
+            done = 0
+            if run and text:
+                m = self.more[letters].match(text)
+                done = m.end() if m else 0
+                yield array("I", run.feed(_byte_symbols(text[:done]))).tobytes()
+                if done < len(text) or last:
+                    yield array("I", run.finish()).tobytes()
+                    run = None
+            for m in self.iterate(text, done):
+                # a contraction has up to two characters after its sign
+                if last or m.end() < len(text) and m.start() < len(text) - 2:
+                    yield self._word(m[0])
+                    done = m.end()
+                    continue
+                done = m.start()
+                if len(m[0]) > SHORT:
+                    run, done = Transducer(self.vocab), m.end()
+                    letters = bool(self.more[True].match(m[0]))
+                    yield array("I", run.feed(_byte_symbols(m[0]))).tobytes()
+                break
+            text = "" if last or run else text[done:]
+        if run:
+            yield array("I", run.finish()).tobytes()
+
+    def _chunk(self, raw: bytes) -> Iterator[bytes]:
+        at = 0
+        for m in self.special.finditer(raw):
+            yield from self._plain(raw[at : m.start()])
+            yield array("I", [self.vocab.special[m[0].decode()]]).tobytes()
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        yield from self._plain(raw[at:])
 
-    def encode(self, raw: bytes) -> bytes:
-        """All ids of a whole text in UTF-8, as little-endian unsigned 32-bit integers."""
+    def _short(self, raw: bytes) -> bytes:
+        """The ids of a piece that starts and ends at white space or the text's ends."""
         low = raw.lower()  # A-Z alone; not where that could make a special token
         chunks = (raw if any(x.lower() in low for x in self.marks) else low).split()
         get = self.chunks.get
@@ -233,14 +292,34 @@ class Encoder:
                 if found is None:
                     c = chunks[i]
                     if (found := get(c)) is None:
-                        found = self.chunk(c)
-                        if len(c) <= 64:
+                        found = b"".join(self._chunk(c))
+                        if len(c) <= SHORT:
                             if len(self.chunks) >= self.limit:
                                 self.chunks.clear()
                             self.chunks[c] = found
                     out[i] = found
         return b"".join(out)
 
+    def stream(self, raw: bytes) -> Iterator[bytes]:
+        """The ids of a whole text in UTF-8, as little-endian unsigned 32-bit integers, in parts
+        as they are found."""
+        at, n = 0, len(raw)
+        while at < n:
+            end = min(n, at + self.piece)
+            if end < n:
+                end = max([raw.rfind(c, at, end) for c in _SPACES])
+                if end <= at:  # no white space in the piece: up to the next one
+                    end = min((x for c in _SPACES if (x := raw.find(c, at + 1)) >= 0), default=n)
+                    yield from self._chunk(raw[at:end].strip(_SPACES))
+                    at = end
+                    continue
+            yield self._short(raw[at:end])
+            at = end
+
+    def encode(self, raw: bytes) -> bytes:
+        """All ids of a text at once."""
+        return b"".join(self.stream(raw))
+
 
 class Decoder:
     """Ids to text, piece by piece. "tokens" joins the tokens as the vocabulary writes them
@@ -248,8 +327,9 @@ class Decoder:
     with a space for each word end. The state is what a character still lacks."""
 
     def __init__(self, vocab: Vocabulary, form: str = "tokens"):
-        self.form, self.first = form, True
+        self.form = form
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.reset()
         if form == "tokens":
             self.pieces = vocab.pieces
         else:
@@ -262,6 +342,11 @@ class Decoder:
                 for p in vocab.pieces
             ]
 
+    def reset(self) -> None:
+        """Ready for another text."""
+        self.first = True
+        self.utf8.reset()
+
     def feed(self, ids: Iterable[int]) -> str:
         found = map(self.pieces.__getitem__, ids)
         if self.form != "tokens":
@@ -276,9 +361,6 @@ class Decoder:
         return "" if self.form == "tokens" else self.utf8.decode(b"", True)
 
 
-DECODE_IDS = 1 << 16
-
-
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> Encoder:
     """One encoder for each Python worker, kept between tasks."""
@@ -288,26 +370,30 @@ def worker_encoder(path: str) -> Encoder:
 def _encode(key: str, text: str, path: str, keep_ids: bool):
     def run(batches):
         encoder = worker_encoder(path)
-        pieces = Decoder(encoder.vocab)
+        forms = [Decoder(encoder.vocab), Decoder(encoder.vocab, "text")]
         for batch in small_batches(batches, text):
             rows = []
             for raw in binary_texts(batch, text):
-                ids = encoder.encode(raw or b"")
-                numbers, n = array("I", ids), len(ids) // 4
-                digest = hashlib.sha256()
-                pieces.first = True
-                for i in range(0, n, DECODE_IDS):
-                    digest.update(pieces.feed(numbers[i : i + DECODE_IDS]).encode("utf-8"))
-                digest.update(pieces.finish().encode("utf-8"))
-                rows.append((n, hashlib.sha256(ids).hexdigest(), digest.hexdigest(), ids))
-            out = {
-                "doc_id": batch.column(key),
-                "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
-                "ids_sha256": pa.array([r[1] for r in rows], pa.string()),
-                "decoded_sha256": pa.array([r[2] for r in rows], pa.string()),
-            }
+                n, kept, said = 0, [], hashlib.sha256()
+                digests = [hashlib.sha256() for _ in forms]
+                for x in forms:
+                    x.reset()
+                for ids in encoder.stream(raw or b""):
+                    said.update(ids)
+                    numbers = array("I", ids)
+                    n += len(numbers)
+                    for digest, x in zip(digests, forms, strict=True):
+                        digest.update(x.feed(numbers).encode("utf-8"))
+                    if keep_ids:
+                        kept.append(ids)
+                for digest, x in zip(digests, forms, strict=True):
+                    digest.update(x.finish().encode("utf-8"))
+                rows.append((n, said.hexdigest(), *[x.hexdigest() for x in digests], b"".join(kept)))
+            out = {"doc_id": batch.column(key), "n_tokens": pa.array([r[0] for r in rows], pa.int64())}
+            for i, name in enumerate(("ids_sha256", "decoded_sha256", "text_sha256"), 1):
+                out[name] = pa.array([r[i] for r in rows], pa.string())
             if keep_ids:
-                out["ids"] = pa.array([r[3] for r in rows], pa.binary())
+                out["ids"] = pa.array([r[4] for r in rows], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -316,16 +402,18 @@ def _encode(key: str, text: str, path: str, keep_ids: bool):
 def encode_documents(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text, and with
-    keep_ids the ids as little-endian unsigned 32-bit integers.
-
-    ids_sha256 is over those integers, decoded_sha256 over the decoded text in UTF-8; both in
-    lowercase hex. A null text counts as empty: no ids, and the digests of nothing. Repeated
-    rows stay repeated, null keys are kept, other columns are not read, and an empty table
-    gives an empty result. `path` is a tokenizer file that every executor can open.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256) of every row's whole text, and
+    with keep_ids the ids as little-endian unsigned 32-bit integers.
+
+    ids_sha256 is over those integers, decoded_sha256 over the tokens joined by spaces, as a
+    tokenizer file without a decoder decodes, text_sha256 over the bytes' own text with a space
+    for each word end, both in UTF-8; all in lowercase hex. A null text counts as empty: no ids,
+    and the digests of nothing. Repeated rows stay repeated, null keys are kept, other columns
+    are not read, and an empty table gives an empty result. `path` is a tokenizer file that
+    every executor can open.
     """
     kind = dict(docs.dtypes)[key]
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string"
     return docs.select(key, text).mapInArrow(
         _encode(key, text, path, keep_ids), schema + ", ids binary" * keep_ids
     )

@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, sf, name):
 
 def test_pipeline_equals_brute_force(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = {r["doc_id"]: tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
+    got = {r["doc_id"]: tuple(r)[:4] for r in corpus_pipeline.run(spark, sf).collect()}
     model = toxicity.train(docs, labels)
     clean = {r["doc_id"] for r in toxicity.score_documents(docs, model).where("predicted = 0").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in clean}
