@@ -7,14 +7,18 @@ are probed for these tokens alone. A hit at position p of a token at offset o gi
 possible start p - o; starts that the document's length rules out go, and the rest are
 verified word by word.
 
-Documents never shuffle. The benchmark goes to the executors in blocks of a checked size; a
-larger benchmark takes more blocks, applied one after the other to each row in one pass.
+Documents never shuffle. The benchmark is cut into blocks of a checked size, which are built
+and written to the shared folder one at a time; an item larger than a block is cut as well, as
+its windows do not depend on each other. A task holds some documents against one block after
+the other, so neither driver nor worker ever holds more than one block, and documents are read
+twice, however many blocks there are: to count shingles, and to probe.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, small_batches
+from .common import binary_texts, new_folder, small_batches, stage, unstage
+from .tokenfiles import open_fs
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 64 << 20  # of one broadcast block: its words and its windows' ids; under 2^20 words
+BLOCK_BYTES = 64 << 20  # of one block: its words and its windows' ids; under 2^20 words
+HELD_BYTES = 64 << 20  # of texts that a task holds against all blocks in turn
 PAIRS = 1 << 18  # verified at once in a task
 
 # A-Z to a-z; what is not a word byte (0-9, a-z, 0x80 and above) to a space
@@ -101,45 +107,105 @@ def build_block(items: list[tuple[str, list[bytes]]], window: int, shingle: int)
     return Block(known, names, ids, lengths, np.array([o for _, o in rows], np.int64), codes)
 
 
-def _count(block: Block, text: str):
-    """Occurrences of the block's shingles, summed within a partition."""
+class Blocks:
+    """Blocks in a folder of their own; a worker remembers the last one that it read."""
+
+    def __init__(self, uri: str):
+        self.uri, self.n = uri, 0
+
+    def write(self, i: int, block: Block) -> None:
+        fs, base = open_fs(self.uri)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/block-{i:06d}") as f:
+            f.write(pickle.dumps(block, 5))
+        self.n = max(self.n, i + 1)
+
+    def read(self, i: int) -> Block:
+        fs, base = open_fs(self.uri)
+        with fs.open_input_stream(f"{base}/block-{i:06d}") as f:
+            return pickle.loads(f.read())
+
+    def each(self, last: dict[int, Block]) -> Iterator[tuple[int, Block]]:
+        """All blocks, one at a time; `last` holds that of the turn before."""
+        for i in range(self.n):
+            if i not in last:
+                last.clear()
+                last[i] = self.read(i)
+            yield i, last[i]
+
+
+def _held(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at most about HELD_BYTES of text."""
+    held, size = [], 0
+    for batch in small_batches(batches, text):
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _count(blocks: Blocks, text: str):
+    """Occurrences of the blocks' shingles, summed within a list of batches."""
 
     def run(batches):
-        base = len(block.words) + 1
-        total = {k: np.zeros(len(c), np.int64) for k, c in block.codes.items()}
-        for batch in small_batches(batches, text):
-            for raw in binary_texts(batch, text):
-                ids = _ids(words_of(raw), block.words)
-                for k, codes in block.codes.items():
-                    _, code = _codes(ids, k, base)
-                    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    np.add.at(total[k], at[codes[at] == code], 1)
-        for k, sums in total.items():
-            some = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(sums[some])],
-                names=["k", "at", "n"],
-            )
+        last: dict[int, Block] = {}
+        for held in _held(batches, text):
+            for b, block in blocks.each(last):
+                base = len(block.words) + 1
+                total = {k: np.zeros(len(c), np.int64) for k, c in block.codes.items()}
+                for batch in held:
+                    for raw in binary_texts(batch, text):
+                        ids = _ids(words_of(raw), block.words)
+                        for k, codes in block.codes.items():
+                            _, code = _codes(ids, k, base)
+                            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                            np.add.at(total[k], at[codes[at] == code], 1)
+                for k, sums in total.items():
+                    some = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), x, np.int32)) for x in (b, k)]
+                        + [pa.array(some), pa.array(sums[some])],
+                        names=["block", "k", "at", "n"],
+                    )
 
     return run
 
 
-def count_shingles(docs: DataFrame, block: Block, text: str) -> dict[int, np.ndarray]:
-    """How often each shingle of the block occurs in all documents; at most one row for each
-    shingle of a block comes to the driver."""
-    totals = {k: np.zeros(len(c), np.int64) for k, c in block.codes.items()}
-    if not totals:
-        return totals
-    rows = (
+def prepare(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str,
+    item_key: str,
+    item_text: str,
+    window: int,
+    shingle: int,
+    block_bytes: int,
+) -> Blocks:
+    """Blocks with their prefixes chosen by how often each shingle occurs in all documents."""
+    spark = docs.sparkSession
+    blocks = Blocks(new_folder(spark, "benchmark"))
+    for i, block in enumerate(_blocks(benchmark, item_key, item_text, window, shingle, block_bytes)):
+        blocks.write(i, block)
+    counts = stage(
         docs.select(text)
-        .mapInArrow(_count(block, text), "k int, at long, n long")
-        .groupBy("k", "at")
-        .agg(F.sum("n").alias("n"))
-        .collect()
+        .mapInArrow(_count(blocks, text), "block int, k int, at long, n long")
+        .groupBy("block", "k", "at")
+        .agg(F.sum("n").alias("n")),
+        "benchmark-counts",
     )
-    for k, at, n in rows:
-        totals[k][at] = n
-    return totals
+    for i in range(blocks.n):
+        block = blocks.read(i)
+        totals = {k: np.zeros(len(c), np.int64) for k, c in block.codes.items()}
+        # at most one row for each shingle of a block
+        for _, k, at, n in counts.where(F.col("block") == i).collect():
+            totals[k][at] = n
+        choose_prefix(block, totals, shingle)
+        blocks.write(i, block)
+    unstage(counts)
+    return blocks
 
 
 def choose_prefix(block: Block, counts: dict[int, np.ndarray], shingle: int) -> None:
@@ -189,73 +255,66 @@ def _occurrences(ids: np.ndarray, block: Block) -> Iterator[tuple[np.ndarray, np
             lo = hi
 
 
-def _probe(block: Block, key: str, text: str, first: bool, last: bool):
+def _probe(blocks: Blocks, key: str, text: str):
     def run(batches):
-        for batch in small_batches(batches, text):
-            spans_in = [None] * batch.num_rows if first else batch.column("spans").to_pylist()
-            items_in = [None] * batch.num_rows if first else batch.column("items").to_pylist()
-            out = []
-            for raw, spans, items in zip(binary_texts(batch, text), spans_in, items_in, strict=True):
-                words = words_of(raw)
-                ids = _ids(words, block.words)
-                old = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
-                edge = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(edge, old[:, 0], 1)
-                np.add.at(edge, old[:, 1], -1)
-                names = set(items or ())
-                for start, win in _occurrences(ids, block):
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + block.lengths[win], -1)
-                    names.update(block.items[i] for i in np.unique(block.owners[win]))
-                covered = np.cumsum(edge)[:-1] > 0
-                out.append((len(words), covered, sorted(names)))
-            if last:
+        last: dict[int, Block] = {}
+        for held in _held(batches, text):
+            spans = [[[] for _ in range(batch.num_rows)] for batch in held]
+            names = [[set() for _ in range(batch.num_rows)] for batch in held]
+            sizes = [[0] * batch.num_rows for batch in held]
+            for _, block in blocks.each(last):
+                for j, batch in enumerate(held):
+                    for i, raw in enumerate(binary_texts(batch, text)):
+                        ids = _ids(words_of(raw), block.words)
+                        sizes[j][i] = len(ids)
+                        for start, win in _occurrences(ids, block):
+                            spans[j][i].append((start, start + block.lengths[win]))
+                            names[j][i].update(block.items[x] for x in np.unique(block.owners[win]))
+            for batch, own, found, size in zip(held, spans, names, sizes, strict=True):
+                hits = [_covered(x, n) for x, n in zip(own, size, strict=True)]
+                items = [sorted(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(key),
-                        pa.array([x[0] for x in out], pa.int64()),
-                        pa.array([int(x[1].sum()) for x in out], pa.int64()),
-                        pa.array([len(x[2]) for x in out], pa.int64()),
-                        pa.array([x[2] for x in out], pa.list_(pa.string())),
-                        pa.array([hashlib.sha256(",".join(x[2]).encode()).hexdigest() for x in out]),
-                        pa.array([bool(x[1].any()) for x in out]),
+                        pa.array(size, pa.int64()),
+                        pa.array(hits, pa.int64()),
+                        pa.array(list(map(len, items)), pa.int64()),
+                        pa.array(items, pa.list_(pa.string())),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                        pa.array([x > 0 for x in hits], pa.bool_()),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
                 )
-            else:
-                spans = []
-                for _, covered, _ in out:
-                    turn = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
-                    spans.append(turn.astype(np.int64).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(key),
-                        batch.column(text),
-                        pa.array(spans, pa.binary()),
-                        pa.array([x[2] for x in out], pa.list_(pa.string())),
-                    ],
-                    names=[key, text, "spans", "items"],
-                )
 
     return run
 
 
+def _covered(spans: list[tuple[np.ndarray, np.ndarray]], n: int) -> int:
+    """Words of n that lie in a span."""
+    edge = np.zeros(n + 1, np.int64)
+    for start, end in spans:
+        np.add.at(edge, start, 1)
+        np.add.at(edge, end, -1)
+    return int((np.cumsum(edge) > 0).sum())
+
+
 def _blocks(
     benchmark: DataFrame, key: str, text: str, window: int, shingle: int, block_bytes: int
 ) -> Iterator[Block]:
-    """Blocks of whole items, one item more than a block read at a time. contamination() keeps
-    all blocks on the driver and in each worker: the whole benchmark must fit there."""
+    """Blocks of items, read one at a time. An item that is larger than a block comes in parts
+    that overlap by a window less one word: they have the same windows."""
     items, size = [], 0
+    most = max(window, block_bytes // (8 * window + 8))  # words of a part
     for name, body in benchmark.select(F.col(key).cast("string"), text).toLocalIterator():
         words = words_of(body.encode("utf-8", "surrogatepass") if body is not None else None)
-        if not words:
-            continue
-        cost = sum(map(len, words)) + 8 * window * len(words)
-        if items and size + cost > block_bytes:
-            yield build_block(items, window, shingle)
-            items, size = [], 0
-        items.append(("null" if name is None else name, words))
-        size += cost
+        for lo in range(0, max(0, len(words) - window) + 1 if words else 0, most):
+            part = words[lo : lo + most + window - 1]
+            cost = sum(map(len, part)) + 8 * window * len(part)
+            if items and size + cost > block_bytes:
+                yield build_block(items, window, shingle)
+                items, size = [], 0
+            items.append(("null" if name is None else name, part))
+            size += cost
     yield build_block(items, window, shingle)
 
 
@@ -279,30 +338,25 @@ def contamination(
     of different items count for each. Repeated documents stay repeated, null keys are kept,
     other columns are not read, and either table may be empty.
     """
-    blocks = list(_blocks(benchmark, item_key, item_text, window, shingle, block_bytes))
-    kind = dict(docs.dtypes)[key]
-    frame = docs.select(key, text)
-    for i, block in enumerate(blocks):
-        choose_prefix(block, count_shingles(docs, block, text), shingle)
-        first, last = i == 0, i == len(blocks) - 1
-        schema = (
-            f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, "
-            "items_sha256 string, contaminated boolean"
-            if last
-            else f"`{key}` {kind}, `{text}` string, spans binary, items array<string>"
-        )
-        frame = frame.mapInArrow(_probe(block, key, text, first, last), schema)
-    return frame
-
-
-def _untouched(block: Block, text: str):
+    blocks = prepare(docs, benchmark, text, item_key, item_text, window, shingle, block_bytes)
+    schema = (
+        f"doc_id {dict(docs.dtypes)[key]}, n_words long, n_hit long, n_items long, items array<string>, "
+        "items_sha256 string, contaminated boolean"
+    )
+    return docs.select(key, text).mapInArrow(_probe(blocks, key, text), schema)
+
+
+def _untouched(blocks: Blocks, text: str):
     def run(batches):
-        for batch in small_batches(batches, text):
-            keep = [
-                not any(True for _ in _occurrences(_ids(words_of(raw), block.words), block))
-                for raw in binary_texts(batch, text)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        last: dict[int, Block] = {}
+        for held in _held(batches, text):
+            keep = [np.ones(batch.num_rows, bool) for batch in held]
+            for _, block in blocks.each(last):
+                for own, batch in zip(keep, held, strict=True):
+                    for i, raw in enumerate(binary_texts(batch, text)):
+                        own[i] &= not (own[i] and any(True for _ in _occurrences(_ids(words_of(raw), block.words), block)))
+            for own, batch in zip(keep, held, strict=True):
+                yield batch.filter(pa.array(own))
 
     return run
 
@@ -318,9 +372,6 @@ def clean(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of docs that contamination() would not mark, with all their columns. No join:
-    each block of the benchmark takes out the rows that hold one of its windows."""
-    frame = docs
-    for block in _blocks(benchmark, item_key, item_text, window, shingle, block_bytes):
-        choose_prefix(block, count_shingles(docs, block, text), shingle)
-        frame = frame.mapInArrow(_untouched(block, text), docs.schema)
-    return frame
+    the blocks of the benchmark take out the rows that hold one of their windows."""
+    blocks = prepare(docs, benchmark, text, item_key, item_text, window, shingle, block_bytes)
+    return docs.mapInArrow(_untouched(blocks, text), docs.schema)

@@ -60,6 +60,29 @@ def test_the_transducer_holds_a_bounded_part(vocab, library, word):
     assert run.peak <= 2 * vocab.lookahead + 2 * 64
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", "ING", "'s", "'ll", "'", "!?", "1", "é", "É", "\u0301", "가", "\u1161", "\u11a8", "İ", "日本", "😀", "<|endoftext|>", "<|endof", "\x85", " ", "x" * 70, "!" * 70]), max_size=40).map("".join), st.sampled_from([7, 16, 40, 200]))
+def test_texts_are_read_in_pieces(text, piece):
+    encoder = bpe.Encoder(bpe.load(PATH), piece=piece)
+    assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == _library().encode(text, add_special_tokens=False).ids
+
+
+def test_every_word_goes_through_the_transducer(vocab, monkeypatch):
+    fed, plain = [], bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, x: fed.append(x) or plain(self, x))
+    bpe.Encoder(vocab).encode(b"Three short words")
+    assert fed == ["three", "short", "words"]
+
+
+def test_an_open_word_is_held_in_part(vocab, library, monkeypatch):
+    peaks, plain = [], bpe.Transducer.finish
+    monkeypatch.setattr(bpe.Transducer, "finish", lambda self: peaks.append(self.peak) or plain(self))
+    for word in ("theringonsab" * 30_000, "日本" * 60_000, "!" * 200_000):
+        parts = list(bpe.Encoder(vocab, piece=4096).stream(word.encode()))
+        assert len(parts) > 20 and np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    assert max(peaks) <= 2 * vocab.lookahead + 2 * bpe.BLOCK
+
+
 def test_lookahead_of_small_merge_lists():
     assert bpe.sufficient_lookahead([]) == 0
     assert bpe.sufficient_lookahead([("a", "b")]) == 1
@@ -80,7 +103,10 @@ def test_encode_documents(spark, library):
     want = []
     for i, t, _ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
-        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        own = library.decode(ids, skip_special_tokens=False)
+        plain = bpe.Decoder(bpe.load(PATH), "text")
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), own.encode(), (plain.feed(ids) + plain.finish()).encode())]
+        want.append((i, len(ids), *digests))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
 
@@ -125,12 +151,25 @@ def test_contamination(spark):
         assert got == want
         kept = decontaminate.clean(df, bench, block_bytes=size)
         assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[1]}
+    again = decontaminate.contamination(df.unionAll(df).unionAll(spark.createDataFrame([(None, item + " " + "word " * 50000, "e")], df.schema)), bench)
+    assert sorted((str(r["doc_id"]), r["n_hit"]) for r in again.collect()) == sorted([(str(i), w[1]) for i, w in want.items()] * 2 + [("None", 13)])
     row = decontaminate.contamination(df, bench).where("doc_id = 12").first()
     assert row["items_sha256"] == hashlib.sha256(b"1").hexdigest() and row["contaminated"] and row["n_items"] == 1
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_a_large_item_is_cut_and_blocks_come_one_at_a_time(spark):
+    long = " ".join(f"w{i % 997}" for i in range(4000))
+    bench = spark.createDataFrame([(1, long), (2, "w5 w6 w7")], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 10, 3, 9000))
+    assert len(blocks) > 10 and max(len(b.lengths) for b in blocks) <= 9000 // 88
+    docs = [(1, " ".join(long.split()[100:140])), (2, "w5 w6 w7 w9"), (3, long)]
+    want = brute.contamination(docs[:2], [(1, long), (2, "w5 w6 w7")])
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=9000).collect()}
+    assert got[1] == want[1] and got[2] == want[2] and got[3] == (4000, 4000, ["1", "2"])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=25), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abcd"), max_size=14), min_size=1, max_size=4))
 def test_windows_equal_brute_force(docs, items):
