@@ -47,10 +47,11 @@ INDEX = np.dtype([("key", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("count",
 NO_KEY = -(1 << 63)
 
 SAMPLE_DOCS = 1024  # documents, least by the hash of their key, that train the dictionary
-SAMPLE_BYTES = 4096  # of each one's serialised ids
+SAMPLE_BYTES = 4096  # of each one's serialised ids, from a place by the hash of its key
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 SHARD_BYTES = 256 << 20
+READ_IDS = 8 << 20  # bytes of ids that a reader holds at once, or one document
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -128,19 +129,32 @@ def _pack(ids: bytes, width: int, end: int | None) -> bytes:
     return numbers.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def _sampled(text: str, path: str, width: int):
+    def run(batches):
+        encoder = worker_tokenizer(path)
+        for batch in small_batches(batches, text, 4 << 20):
+            out = []
+            for raw, place in zip(binary_texts(batch, text), batch.column("place").to_pylist(), strict=True):
+                ids = _pack(encoder.encode_all([raw or b""])[0], width, None)
+                at = place % max(1, len(ids) - SAMPLE_BYTES + 1) // width * width
+                out.append(ids[at : at + SAMPLE_BYTES])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return run
+
+
 def train_dictionary(
     docs: DataFrame, path: str, key: str, text: str, width: int, sample: int = SAMPLE_DOCS
 ) -> bytes:
-    """A dictionary from the first SAMPLE_BYTES of the id arrays of at most `sample` documents,
-    those least by the hash of their key. Empty if they hold too little to train on."""
+    """A dictionary from SAMPLE_BYTES of the id arrays of at most `sample` documents, those least
+    by the hash of their key, from anywhere in them. Empty if they hold too little to train on."""
     # keys alone are sorted; then only rows up to the last hash bring their texts
     last = least_by_hash(docs.select(key), [key], sample).agg(F.max(F.xxhash64(key))).first()[0]
     if last is None:
         return b""
-    start = F.substring(F.col(text), 1, 4 * SAMPLE_BYTES).alias("t")
-    chosen = docs.where(F.xxhash64(key) <= last).select(start).limit(sample).collect()
-    raws = [(r["t"] or "").encode("utf-8", "surrogatepass") for r in chosen]
-    packed = [_pack(x, width, None)[:SAMPLE_BYTES] for x in ChunkTokenizer(path).encode_all(raws)]
+    place = F.expr(f"pmod(xxhash64(`{key}`, 'place'), 1073741824)").alias("place")
+    chosen = docs.where(F.xxhash64(key) <= last).select(F.col(text), place).limit(sample)
+    packed = [bytes(r["ids"]) for r in chosen.mapInArrow(_sampled(text, path, width), "ids binary").collect()]
     packed = [x for x in packed if len(x) >= 64]
     total = sum(map(len, packed))
     if len(packed) < 16 or total < 16 << 10:
@@ -301,21 +315,27 @@ def _read(uri: str, keep_ids: bool):
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader, start = ShardReader(uri, name), before
-                for lo in range(0, len(reader.index), 4096):
-                    rows = reader.index[lo : lo + 4096]
-                    counts = rows["count"].astype(np.int64)
-                    starts = start + np.cumsum(counts) - counts
-                    start += int(counts.sum())
-                    ids = [reader.ids(i).tobytes() for i in range(lo, lo + len(rows))]
-                    keys = rows["key"]
+                counts = reader.index["count"].astype(np.int64)
+                ends, lo = np.cumsum(counts * reader.width), 0
+                while lo < len(counts):
+                    done = ends[lo - 1] if lo else 0
+                    hi = min(lo + 4096, max(lo + 1, int(np.searchsorted(ends, done + READ_IDS, "right"))))
+                    own, keys = counts[lo:hi], reader.index["key"][lo:hi]
+                    sums, ids = [], []
+                    for i in range(lo, hi):
+                        raw = reader.ids(i).tobytes()
+                        sums.append(zlib.crc32(raw))
+                        if keep_ids:
+                            ids.append(raw)
                     out = {
                         "doc_id": pa.array(keys, mask=keys == NO_KEY),
-                        "start": pa.array(starts),
-                        "n_tokens": pa.array(counts),
-                        "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                        "start": pa.array(start + np.cumsum(own) - own),
+                        "n_tokens": pa.array(own),
+                        "ids_crc32": pa.array(sums, pa.int64()),
                     }
                     if keep_ids:
                         out["ids"] = pa.array(ids, pa.binary())
+                    start, lo = start + int(own.sum()), hi
                     yield pa.RecordBatch.from_pydict(out)
                 reader.close()
 
