@@ -5,7 +5,9 @@ payload. So each task only proposes candidates: every place where a record heade
 with the offset of its successor. Within its own range it follows these to where each chain
 leaves the range. Pointer jumping over those exits, from the start of each file, then tells
 the one true entry of every range in a logarithmic number of rounds, and only records on the
-chain from an entry are read; a header inside a payload is never reached.
+chain from an entry are read; a header inside a payload is never reached. Files of any size
+go this way. Only exits from places that some chain leads to are kept for the jumping, which
+is a few rows for each range.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nConte
 
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 1 << 30  # an archive is closed once it has so many
-SPLIT_BYTES = 16 << 20
-READ_BYTES = 1 << 20
+SPLIT_BYTES = 256 << 10  # of a range, of which a chain tells the entry
+TASK_BYTES = 4 << 20  # of neighbouring ranges for a task at least
+MOST_TASKS = 10_000  # ranges of a larger total are dealt to so many tasks
+READ_BYTES = 256 << 10
 BROADCAST_ROWS = 1 << 20  # repeated payloads, of about 100 bytes each, that are sent to all tasks
 DATE = "2024-01-01T00:00:00Z"  # the input has no capture time
 
@@ -192,48 +196,56 @@ def _candidates(window: _Window, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         at = max(at + len(raw) - len(VERSION) + 1, found[-1] + 1 if found else 0)
 
 
+def _windows(uri: str, batches, columns: int) -> Iterator[tuple]:
+    """The rows of batches of (name, ...), each with a window on its file. Rows of a file that
+    come one after the other share the window and what it has read."""
+    (fs, base), window, opened = open_fs(uri), None, None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns[:columns]), strict=True):
+            if row[0] != opened:
+                if window:
+                    window.close()
+                window, opened = _Window(fs, f"{base}/{row[0]}"), row[0]
+            yield (window, *row)
+    if window:
+        window.close()
+
+
 def _exits(uri: str):
     def run(batches):
-        fs, base = open_fs(uri)
-        for batch in batches:
-            for name, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                window = _Window(fs, f"{base}/{name}")
-                found = list(_candidates(window, lo, hi))
-                window.close()
-                leaves: dict[int, int] = {}
-                for start, after in reversed(found):
-                    # a successor inside the range that is no candidate ends the chain
-                    leaves[start] = after if after >= hi else leaves.get(after, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(leaves), pa.string()), pa.array(list(leaves), pa.int64()),
-                     pa.array(list(leaves.values()), pa.int64())], names=["name", "at", "leaves"],
-                )
+        for window, name, lo, hi in _windows(uri, batches, 3):
+            found = list(_candidates(window, lo, hi))
+            leaves: dict[int, int] = {}
+            for start, after in reversed(found):
+                # a successor inside the range that is no candidate ends the chain
+                leaves[start] = after if after >= hi else leaves.get(after, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(leaves), pa.string()), pa.array(list(leaves), pa.int64()),
+                 pa.array(list(leaves.values()), pa.int64())], names=["name", "at", "leaves"],
+            )
 
     return run
 
 
-def _records(uri: str, split: int):
+def _records(uri: str, split: int, strict: bool):
     def run(batches):
-        fs, base = open_fs(uri)
-        for batch in batches:
-            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                window = _Window(fs, f"{base}/{name}")
-                hi = min((at // split + 1) * split, window.size)
-                rows = []
-                while at < hi and (parsed := parse_header(window.read, at)):
-                    fields, block = parsed
-                    end = block + int(fields["content-length"])
-                    if end > window.size:
-                        break
-                    rows.append(_row(window, fields, block, end))
-                    at = end + len(END_OF_RECORD)
-                window.close()
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                    names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+        for window, name, at in _windows(uri, batches, 2):
+            hi, rows = min((at // split + 1) * split, window.size), []
+            while at < hi and (parsed := parse_header(window.read, at)):
+                fields, block = parsed
+                end = block + int(fields["content-length"])
+                if end + (len(END_OF_RECORD) if strict else 0) > window.size:
+                    break
+                rows.append(_row(window, fields, block, end))
+                at = end + len(END_OF_RECORD)
+            if strict and at < hi:
+                raise ValueError(f"{name}: the chain of records breaks at byte {at} of {window.size}")
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+            )
 
     return run
 
@@ -259,47 +271,56 @@ def _row(window: _Window, fields: dict[str, str], block: int, end: int) -> tuple
     return page, url, end - body, sha.hexdigest(), kind, None
 
 
+def _dealt(rows: DataFrame, files: list[tuple[str, int]], at: str) -> DataFrame:
+    """Rows of (name, offset, ...) with neighbouring offsets of a file in one task, in order."""
+    total = sum(size for _, size in files)
+    task = max(TASK_BYTES, total // MOST_TASKS)
+    place = F.floor(F.col(at) / task)
+    return rows.repartition(max(1, total // task + len(files)), "name", place).sortWithinPartitions("name", at)
+
+
 def entries(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = SPLIT_BYTES) -> DataFrame:
-    """(name, at): the first true record of every range of `split` bytes that has one."""
-    ranges = [(n, lo, min(lo + split, size)) for n, size in files for lo in range(0, size, split)]
-    starts = spark.createDataFrame([(n, 0) for n, size in files if size], "name string, at long")
-    longest = max((-(-size // split) for _, size in files), default=0)
-    if longest <= 1:
-        return starts
-    jumps = stage(
-        spark.createDataFrame(ranges, "name string, lo long, hi long")
-        .repartition(len(ranges))
-        .mapInArrow(_exits(uri), "name string, at long, leaves long"),
-        "warc-exits",
-    )
-    reached = starts
-    for i in range((longest - 1).bit_length()):
+    """(name, at): the first true record of every range of `split` bytes that has one. A chain
+    that breaks leaves the ranges after it without an entry."""
+    sizes = spark.createDataFrame([x for x in files if x[1]], "name string, size long")
+    ranges = sizes.select(
+        "name", "size", F.explode(F.expr(f"sequence(0L, size - 1, {split}L)")).alias("lo")
+    ).select("name", "lo", F.least(F.col("lo") + split, "size").alias("hi"))
+    exits = stage(_dealt(ranges, files, "lo").mapInArrow(_exits(uri), "name string, at long, leaves long"), "warc-exits")
+    starts = sizes.select("name", F.lit(0).cast("long").alias("at"))
+    # an entry is the file's start or where a chain leads to from another range
+    led = exits.where("leaves >= 0").select("name", F.col("leaves").alias("at")).unionAll(starts).distinct()
+    jumps = stage(exits.join(led, ["name", "at"], "left_semi"), "warc-jumps")
+    unstage(exits)
+    reached, longest = starts, max((-(-size // split) for _, size in files), default=0)
+    for i in range((max(1, longest) - 1).bit_length()):
         ahead = reached.join(jumps, ["name", "at"]).select("name", F.col("leaves").alias("at"))
         step = stage(reached.unionAll(ahead.where("at >= 0")).distinct(), "warc-entries")
         if 2 << i < longest:
             then = jumps.select("name", F.col("at").alias("leaves"), F.col("leaves").alias("next"))
             further = jumps.join(then, ["name", "leaves"]).select("name", "at", F.col("next").alias("leaves"))
-            further = stage(further, "warc-exits")
+            further = stage(further, "warc-jumps")
             unstage(jumps)
             jumps = further
         unstage(reached)
         reached = step
-    sizes = spark.createDataFrame(files, "name string, size long")
-    return reached.join(F.broadcast(sizes) if len(files) < 10_000 else sizes, "name").where("at < size").select("name", "at")
+    unstage(jumps)
+    return reached.join(sizes, "name").where("at < size").select("name", "at")
 
 
-def read_warc(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = SPLIT_BYTES) -> DataFrame:
+def read_warc(
+    spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = SPLIT_BYTES, strict: bool = False
+) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record
     that is reachable from the start of its file. Where a record is cut short or a header
-    does not parse, its file's chain ends."""
+    does not parse, its file's chain ends; with `strict` that is an error."""
     schema = (
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
         "refers_to long"
     )
-    if not files:
+    if not any(size for _, size in files):
         return spark.createDataFrame([], schema)
-    n = sum(-(-size // split) for _, size in files)
-    return entries(spark, uri, files, split).repartition(max(1, n)).mapInArrow(_records(uri, split), schema)
+    return _dealt(entries(spark, uri, files, split), files, "at").mapInArrow(_records(uri, split, strict), schema)
 
 
 def warc_round_trip(
@@ -310,8 +331,9 @@ def warc_round_trip(
     payload_bytes and payload_digest (hex SHA-1) are of the full payload, the html in UTF-8;
     null html is an empty payload. refers_to is null for responses. Rows that repeat the
     largest page_id of equal payloads are responses, each; a null page_id is a response and
-    stays null. Other columns are not read, and an empty table gives an empty result.
+    stays null. Other columns are not read, and an empty table gives an empty result. An archive
+    whose records do not reach from its start to its end is an error.
     """
     uri = new_folder(pages.sparkSession, "warc")
     files = write_warc(pages, uri, key, url, html)
-    return read_warc(pages.sparkSession, uri, files)
+    return read_warc(pages.sparkSession, uri, files, strict=True)
