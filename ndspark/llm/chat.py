@@ -27,12 +27,17 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), plain(role), F.lit("\n"), plain(text), F.lit(CLOSE + "\n"))
 
 
-def _turns(df: DataFrame, side: str, key: str, turn: str, role: str, text: str) -> DataFrame:
+def unique_turns(
+    df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """(conv_id, turn, said): one row for each turn, a null role or text being empty. Of several
+    rows for one turn the least by role, then text, counts. Rows without a key or number have no
+    place in any conversation and are left out."""
     said = F.struct(
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     rows = df.where(F.col(key).isNotNull() & F.col(turn).isNotNull())
-    return rows.groupBy(F.col(key).alias("pair_id"), F.col(turn).alias("turn")).agg(F.min(said).alias(side))
+    return rows.groupBy(F.col(key).alias("conv_id"), F.col(turn).alias("turn")).agg(F.min(said).alias("said"))
 
 
 def format_preferences(
@@ -51,11 +56,13 @@ def format_preferences(
     sides differ in role or text, or that one side lacks; pairs without a difference are all
     prompt. Null roles and texts are empty ones. Rows without a key or number have no place and
     are left out; of several rows for one turn of a side the least by role, then text, counts.
-    Other columns are not read. Empty tables give an empty result.
+    Texts may be of any length. Other columns are not read. Empty tables give an empty result.
     """
-    turns = _turns(chosen, "c", key, turn, role, text).join(
-        _turns(rejected, "r", key, turn, role, text), ["pair_id", "turn"], "full"
+    left, right = (
+        unique_turns(df, key, turn, role, text).toDF("pair_id", "turn", side)
+        for df, side in ((chosen, "c"), (rejected, "r"))
     )
+    turns = left.join(right, ["pair_id", "turn"], "full")
     split = (
         turns.where(~F.col("c").eqNullSafe(F.col("r")))
         .groupBy(F.col("pair_id").alias("own"))
@@ -82,25 +89,27 @@ def format_preferences(
 
 
 def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """A rejected side for each conversation that has an answer: its turns, the last answer
-    replaced by that of the conversation with the next id (empty if there is none), and what
-    follows left out."""
-    turns = conversations.select("conv_id", "turn", "role", "text")
+    """A rejected side for each conversation: its turns, the last answer replaced by that of the
+    conversation with the next id (empty if that has none), and what follows left out. A
+    conversation without an answer stays as it is, so that it is all prompt. Turns are those of
+    unique_turns()."""
+    turns = unique_turns(conversations)
     last = (
-        turns.where(F.col("role") == TARGET_ROLE)
+        turns.where(F.col("said.role") == TARGET_ROLE)
         .groupBy("conv_id")
-        .agg(F.max("turn").alias("last"), F.max_by(F.coalesce("text", F.lit("")), F.struct("turn", "text")).alias("answer"))
+        .agg(F.max(F.struct("turn", F.col("said.text").alias("answer"))).alias("l"))
+        .select("conv_id", F.col("l.turn").alias("last"), F.col("l.answer").alias("answer"))
     )
     donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"))
     swaps = last.select("conv_id", "last").join(donors, "conv_id", "left")
     swapped = F.col("turn") == F.col("last")
     return (
-        turns.join(swaps, "conv_id")
-        .where("turn <= last")
+        turns.join(swaps, "conv_id", "left")
+        .where("last is null or turn <= last")
         .select(
             "conv_id",
             "turn",
-            F.when(swapped, F.lit(TARGET_ROLE)).otherwise(F.col("role")).alias("role"),
-            F.when(swapped, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"),
+            F.col("said.role").alias("role"),
+            F.when(swapped, F.coalesce("other", F.lit(""))).otherwise(F.col("said.text")).alias("text"),
         )
     )

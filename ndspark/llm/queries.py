@@ -158,12 +158,14 @@ def op2_licenses_wrapped(spark, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH l AS (SELECT conv_id, max(turn) AS last, arg_max(coalesce(text, ''), turn) AS answer
-    FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+WITH u AS (SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+l AS (SELECT conv_id, max(turn) AS last, arg_max(said.text, turn) AS answer
+    FROM u WHERE said.role = 'assistant' GROUP BY conv_id),
 s AS (SELECT l.conv_id, l.last, coalesce(d.answer, '') AS other FROM l LEFT JOIN l d ON d.conv_id = l.conv_id + 1),
-k AS (SELECT c.conv_id AS pair_id, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS text
-    FROM conversations c JOIN s ON s.conv_id = c.conv_id),
-r AS (SELECT k.pair_id, k.turn, k.role, k.text FROM k JOIN s ON s.conv_id = k.pair_id WHERE k.turn < s.last
+k AS (SELECT conv_id AS pair_id, turn, said.role AS role, said.text AS text FROM u),
+r AS (SELECT k.pair_id, k.turn, k.role, k.text FROM k LEFT JOIN s ON s.conv_id = k.pair_id
+    WHERE s.last IS NULL OR k.turn < s.last
     UNION ALL SELECT conv_id, last, 'assistant', other FROM s),
 j AS (SELECT coalesce(k.pair_id, r.pair_id) AS pair_id, coalesce(k.turn, r.turn) AS turn, k.role AS cr, k.text AS ct,
     r.role AS rr, r.text AS rt FROM k FULL JOIN r ON k.pair_id = r.pair_id AND k.turn = r.turn),
@@ -182,6 +184,4 @@ def op4_preferences(spark, sf_dir: str) -> DataFrame:
     from .chat import format_preferences, swapped_answers
 
     turns = table(spark, sf_dir, "conversations")
-    rejected = swapped_answers(turns)
-    answered = turns.join(rejected.select("conv_id").distinct(), "conv_id", "left_semi")
-    return format_preferences(answered, rejected)
+    return format_preferences(turns, swapped_answers(turns))

@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from ndspark.llm import chat, licenses, warc
+from ndspark.llm import chat, licenses, queries, warc
 
 INNER = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\n0123456789\r\n\r\nWARC/1.0\r\nContent-Length: 5000\r\n\r\n"
 
@@ -40,6 +40,27 @@ def test_a_cut_archive_ends_its_chain(spark, tmp_path):
     ((name, size),) = warc.write_warc(df, uri)
     (tmp_path / name).write_bytes((tmp_path / name).read_bytes()[:-9])
     assert {r["page_id"] for r in warc.read_warc(spark, uri, [(name, size - 9)]).collect()} == {0, 1, 2, 3}
+    with pytest.raises(Exception, match="chain of records breaks"):
+        warc.read_warc(spark, uri, [(name, size - 9)], strict=True).collect()
+
+
+def test_every_file_goes_by_its_chain(spark, sf, monkeypatch):
+    staged, plain = [], warc.stage
+    monkeypatch.setattr(warc, "stage", lambda df, name: staged.append(name) or plain(df, name))
+    df = spark.createDataFrame([(1, "u", "x" * 40), (2, "u", INNER * 40)], "page_id long, url string, html string").coalesce(1)
+    uri = warc.new_folder(spark, "warc")
+    files = warc.write_warc(df, uri)
+    found = warc.entries(spark, uri, files).collect()
+    assert "warc-exits" in staged and [tuple(r) for r in found] == [(files[0][0], 0)]
+    assert len(warc.entries(spark, uri, files, 300).collect()) > 1 and staged.count("warc-jumps") > 2
+
+
+def test_long_payloads(spark):
+    body = "é" * 3_000_000 + INNER
+    df = spark.createDataFrame([(1, "u", body), (2, "u", body), (3, "u", "x")], "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r for r in warc.warc_round_trip(df).collect()}
+    assert got[1]["refers_to"] == 2 and got[2]["payload_bytes"] == len(body.encode()) == got[1]["payload_bytes"]
+    assert got[2]["payload_digest"] == hashlib.sha1(body.encode()).hexdigest() and len(got) == 3
 
 
 def _scan(spark, *texts):
@@ -81,3 +102,23 @@ def test_preferences(spark):
     }
     assert chat.format_preferences(a.limit(0), b.limit(0)).count() == 0
     assert chat.swapped_answers(a.limit(0)).count() == 0
+
+
+def test_every_conversation_stays_and_ties_go_one_way(spark):
+    rows = [
+        (1, 0, "user", "q", 0), (1, 1, "assistant", "b", 0), (1, 1, "assistant", "a", 0), (1, 1, "assistant", "a", 0), (1, 2, "user", "bye", 0),
+        (2, 0, "user", "alone", 0), (3, 0, "assistant", "x" * 200_000, 0), (4, 0, "assistant", None, 0), (5, 3, None, None, 0), (None, 1, "user", "x", 0),
+    ]
+    df = spark.createDataFrame(rows, TURNS)
+    got = {(r["pair_id"], r["part"], r["turn"]): (r["role"], r["rendered"].split("\n", 1)[1][: -len(chat.CLOSE) - 1]) for r in chat.format_preferences(df, chat.swapped_answers(df)).collect()}
+    assert got == {
+        (1, "prompt", 0): ("user", "q"), (1, "chosen", 1): ("assistant", "a"), (1, "chosen", 2): ("user", "bye"), (1, "rejected", 1): ("assistant", ""),
+        (2, "prompt", 0): ("user", "alone"), (3, "chosen", 0): ("assistant", "x" * 200_000), (3, "rejected", 0): ("assistant", ""),
+        (4, "prompt", 0): ("assistant", ""), (5, "prompt", 3): ("", ""),
+    }
+
+
+def test_all_conversations_of_the_table_are_rendered(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().collect()}
+    assert {r[0] for r in queries.QUERIES["op4_preferences"](spark, sf).select("pair_id").distinct().collect()} == ids
