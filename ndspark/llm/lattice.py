@@ -7,10 +7,12 @@ candidates if they share a bucket, and every candidate's cosine is computed in d
 precision. Tables and probes are chosen so that pairs just at the threshold are found with
 `TARGET` probability; closer pairs are found more often.
 
-Links are counted where they are found. A pair may share several buckets; it counts in the
-least of them, which any task can tell from the two vectors. So no pair is ever a row: a
-bucket gives each of its vectors a number of links, and the least vector that it reaches
-there. Large buckets are cut into blocks, and the pairs of blocks are dealt out.
+Links are counted where they are found. A pair may share several buckets; it belongs to the
+least of them, which any task can tell as each vector brings the list of its buckets. Pairs
+that share a lesser bucket are ruled out first, most of them by one product of matrices, so
+each pair's cosine is computed about once. No pair is ever a row: a bucket gives each of its
+vectors a number of links, and a vector that it reaches there. Large buckets are cut into
+blocks, and the pairs of blocks are dealt out.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stage, unstage
 from .components import components
@@ -34,7 +37,9 @@ SHAPES = (  # tables, blocks, cells, scale: of those tried, cheap ones for few t
     (2, 1, 4, 3.0), (3, 1, 4, 3.5), (4, 1, 4, 4.0), (4, 2, 4, 2.0), (6, 2, 4, 2.0), (9, 2, 2, 2.0),
     (6, 2, 8, 2.5), (3, 3, 16, 2.0), (4, 3, 16, 2.5), (9, 3, 16, 2.5),
 )
-BLOCK = 2048  # vectors of a bucket that one task holds against as many
+BLOCK = 16384  # vectors of a bucket that one task holds against as many, at most
+BLOCK_BYTES = 64 << 20  # of them in double precision
+LESSER = 256  # buckets, the most shared, that rule out pairs by a product of matrices
 SEED = 20240607
 
 
@@ -186,15 +191,19 @@ def _prepare(key: str, vector: str, label: str, width: int):
 
     def run(batches):
         for batch in batches:
-            rows = []
-            values, labels = batch.column(vector).to_pylist(), batch.column(label).to_pylist()
-            for v, lab in zip(values, labels, strict=True):
-                good = lab is not None and v is not None and len(v) > 0 and None not in v
-                x = np.array(v, kind) + kind.type(0) if good else None
+            rows, values = [], batch.column(vector)
+            flat, bounds = values.values, values.offsets.to_numpy()
+            lost = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False)) if flat.null_count else np.empty(0, np.int64)
+            numbers = flat.fill_null(0).to_numpy().astype(kind, copy=False)
+            there = values.is_valid().to_numpy(zero_copy_only=False)
+            holes = np.searchsorted(lost, bounds)
+            for i, lab in enumerate(batch.column(label).to_pylist()):
+                x = numbers[bounds[i] : bounds[i + 1]] + kind.type(0)
+                good = lab is not None and there[i] and len(x) > 0 and holes[i] == holes[i + 1]
                 if good and np.isfinite(x).all() and np.any(x) and np.isfinite(np.linalg.norm(x.astype("f8"))):
                     raw, name = x.tobytes(), str(lab)
                     node = hashlib.blake2b(f"{name}\0".encode() + raw, digest_size=16).digest()
-                    rows.append((node, len(v), raw, name))
+                    rows.append((node, len(x), raw, name))
                 else:
                     rows.append((None, None, None, None))
             cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -219,17 +228,17 @@ def _salts(labels: list[str]) -> np.ndarray:
 
 
 def _file(tables: Tables, width: int):
+    """(node, cells): the buckets of each vector."""
+
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 units = _units(part.column("vec").to_pylist(), width)
-                found = tables.buckets(units, _salts(part.column("label").to_pylist()))
-                n, each = len(units), found.shape[1] * found.shape[2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.reshape(-1).view(np.int64)),
-                     part.column("node").take(pa.array(np.repeat(np.arange(n), each)))], names=["bucket", "node"],
-                )
+                found = tables.buckets(units, _salts(part.column("label").to_pylist())).reshape(len(units), -1)
+                offsets = np.arange(len(units) + 1, dtype=np.int32) * found.shape[1]
+                cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), cells], names=["node", "cells"])
 
     return run
 
@@ -248,72 +257,92 @@ def _reach(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _in_bucket(tables: Tables, width: int, threshold: float, rows: list[tuple]) -> list[tuple]:
-    """(node, links, root) from the rows of a block pair: (bucket, i, j, own block, node, vec,
-    label, copies). Links count copies of the other vector."""
-    bucket, i, j = rows[0][:3]
+def _lesser(cells: np.ndarray, bucket: np.uint64) -> np.ndarray:
+    """A column for each of the LESSER buckets below this one that most of its vectors share."""
+    row, at = np.nonzero(cells < bucket)
+    found, code, count = np.unique(cells[row, at], return_inverse=True, return_counts=True)
+    most = np.argsort(-count, kind="stable")[:LESSER]
+    place = np.full(len(found), -1)
+    place[most[count[most] > 1]] = np.arange((count[most] > 1).sum())
+    out = np.zeros((len(cells), place.max(initial=-1) + 1), np.float32)
+    own = place[code] >= 0
+    out[row[own], place[code[own]]] = 1
+    return out
+
+
+def _in_bucket(width: int, threshold: float, rows: list[tuple]) -> list[tuple]:
+    """(node, least, links, root, root's least) from the rows of a block pair: (bucket, i, j,
+    own block, node, least, vec, label, copies, cells). Only pairs that share no lesser bucket
+    count. Links count copies of the other vector."""
+    bucket, i, j = np.uint64(rows[0][0] % 2**64), *rows[0][1:3]
     rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: r[4])
     if len(rows) < 2:
         return []
-    units = _units([r[5] for r in rows], width)
-    labels, copies = [r[6] for r in rows], np.array([r[7] for r in rows], np.int64)
+    cells = np.array([r[9] for r in rows], np.int64).view(np.uint64)
+    before = _lesser(cells, bucket)
+    if before.size and before.all(axis=0).any():  # all its pairs belong to one lesser bucket
+        return []
+    units = _units([r[6] for r in rows], width)
+    labels, copies = [r[7] for r in rows], np.array([r[8] for r in rows], np.int64)
     own = np.array([r[3] for r in rows])
-    cells = tables.buckets(units, _salts(labels))
     code = {x: k for k, x in enumerate(sorted(set(labels)))}
     kinds = np.array([code[x] for x in labels])
     links, ends = np.zeros(len(rows), np.int64), []
-    left = np.flatnonzero(own == i)
-    right = np.flatnonzero(own == j)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     for lo in range(0, len(left), 256):
         part = left[lo : lo + 256]
-        close = units[part] @ units[right].T >= threshold - 1e-9
-        x, y = np.nonzero(close & (kinds[part][:, None] == kinds[right][None, :]))
+        close = kinds[part][:, None] == kinds[right][None, :]
+        if before.size:
+            close &= before[part] @ before[right].T < 0.5
+        if not close.any():
+            continue
+        close &= units[part] @ units[right].T >= threshold - 1e-9
+        x, y = np.nonzero(close)
         x, y = part[x], right[y]
         once = x < y if i == j else np.ones(len(x), bool)
         x, y = x[once], y[once]
-        for at in range(0, len(x), 1 << 15):
-            a, b = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
-            cosine = np.einsum("ij,ij->i", units[a], units[b])
-            a, b = a[cosine >= threshold], b[cosine >= threshold]
+        for at in range(0, len(x), 1 << 14):
+            a, b = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            linked = np.einsum("ij,ij->i", units[a], units[b]) >= threshold
+            a, b = a[linked], b[linked]
+            shared = (cells[a][:, :, None] == cells[b][:, None, :]).any(axis=2)
+            first = ~(shared & (cells[a] < bucket)).any(axis=1)
+            a, b = a[first], b[first]
             ends.append((a, b))
-            shared = cells[a][:, :, :, None] == cells[b][:, :, None, :]
-            least = np.where(shared.any(axis=3), cells[a], np.uint64(2**64 - 1)).min(axis=(1, 2))
-            first = least == np.uint64(bucket % 2**64)
-            np.add.at(links, a[first], copies[b[first]])
-            np.add.at(links, b[first], copies[a[first]])
-    if not ends:
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+    if not sum(len(a) for a, _ in ends):
         return []
     a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
     root = _reach(len(rows), a, b)
     touched = np.unique(np.concatenate([a, b]))
-    return [(rows[k][4], int(links[k]), rows[root[k]][4]) for k in touched]
+    return [(*rows[k][4:6], int(links[k]), *rows[root[k]][4:6]) for k in touched]
 
 
-def _verify(tables: Tables, width: int, threshold: float):
+def _verify(width: int, threshold: float, kind: pa.DataType):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.binary(), kind, pa.int64(), pa.binary(), kind]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "least", "links", "root", "first"]
+        )
+
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    out += _in_bucket(tables, width, threshold, held)
+                    out += _in_bucket(width, threshold, held)
                     held = []
                 held.append(row)
-            yield _links_batch(out)
+            yield batch_of(out)
         if held:
-            yield _links_batch(_in_bucket(tables, width, threshold, held))
+            yield batch_of(_in_bucket(width, threshold, held))
 
     return run
 
 
-def _links_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 3
-    kinds = [pa.binary(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "links", "root"]
-    )
-
-
 def near_duplicate_vectors(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -353,7 +382,8 @@ def near_duplicate_vectors(
         for r in nodes.groupBy("dims", "label").count().groupBy("dims").agg(F.max("count").alias("n")).collect()
     ):
         own = nodes.where(F.col("dims") == dims)
-        part = _links(own, fit(dims, 1 << max(10, int(n - 1).bit_length()), threshold, target), width, threshold, block)
+        tables = fit(dims, 1 << max(10, int(n - 1).bit_length()), threshold, target)
+        part = _links(own, tables, width, threshold, max(1, min(block, BLOCK_BYTES // (8 * dims))))
         found = part if found is None else found.unionAll(part)
     if found is None:
         return rows.select(
@@ -362,14 +392,18 @@ def near_duplicate_vectors(
         )
     found = stage(found, "lattice-links")
     near = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots_of = components(found.select("node", "root"), "lattice-components").withColumnRenamed("node", "other")
+    # ordered by least key, so that a component's root tells its id and no join by root is needed
+    end = lambda node, least: F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(node).alias("node"))
+    roots_of = components(found.select(end("node", "least").alias("a"), end("root", "first").alias("b")), "lattice-components")
+    roots_of = roots_of.select(F.col("node.node").alias("other"), "root")
     placed = nodes.select("node", "copies", "least").join(near, "node", "left")
-    placed = placed.join(roots_of, placed.node == roots_of.other, "left").select(
-        "node", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "node").alias("root"),
+    classes = stage(
+        placed.join(roots_of, placed.node == roots_of.other, "left").select(
+            "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            F.expr("if(root is null, least, root.least)").alias("component_id"),
+        ),
+        "lattice-classes",
     )
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(placed.join(least, "root").select("node", "n_links", "component_id"), "lattice-classes")
     unstage(nodes, found)
     return (
         rows.select("vec_id", "node")
@@ -385,22 +419,26 @@ def near_duplicate_vectors(
 
 def _links(nodes: DataFrame, tables: Tables, width: int, threshold: float, block: int) -> DataFrame:
     filed = stage(
-        nodes.select("node", "vec", "label").mapInArrow(_file(tables, width), "bucket long, node binary"),
+        nodes.select("node", "vec", "label").mapInArrow(_file(tables, width), "node binary, cells array<long>"),
         "lattice-filed",
     )
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = filed.select("node", F.explode(F.array_distinct("cells")).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # blocks of a bucket by the hash of the node; a block meets every block of its bucket
     dealt = (
-        filed.join(shared, "bucket")
+        buckets.join(shared, "bucket")
         .withColumn("blocks", F.expr(f"cast(ceil(n / {block}) as int)"))
         .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
     )
+    whole = nodes.select("node", "least", "vec", "label", "copies").join(filed, "node")
+    kind = nodes.schema["least"].dataType
+    schema = f"node binary, least {kind.simpleString()}, links long, root binary, first {kind.simpleString()}"
     return (
-        dealt.join(nodes.select("node", "vec", "label", "copies"), "node")
-        .select("bucket", "i", "j", "own", "node", "vec", "label", "copies")
+        dealt.join(whole, "node")
+        .select("bucket", "i", "j", "own", "node", "least", "vec", "label", "copies", "cells")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_verify(tables, width, threshold), "node binary, links long, root binary")
+        .mapInArrow(_verify(width, threshold, to_arrow_type(kind)), schema)
     )
