@@ -4,7 +4,11 @@ Every paragraph-like block passes points for its length and its commas to the el
 it: all to the parent, half to the grandparent, then a third, and so on. An element's score is
 discounted by the share of its text that lies in links. The best container is the article, or,
 if it is no article element, a part of it: elements with prose beside it and beside the elements
-around it are kept with what lies between them.
+around it are kept with what lies between them. The scheme of points is that which Arc90's
+Readability (Apache License 2.0) made known; words, numbers and rules here are our own.
+
+Elements nest at most DEPTH deep, as in browsers: what would lie deeper lies beside. So time is
+in proportion to a page's length, however it nests.
 """
 
 from __future__ import annotations
@@ -37,22 +41,39 @@ DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
     "tablist note".split()
 )
-# Words of a class or id that mark what is not the article.
-UNLIKELY = frozenset(
-    "ad ads adv alert alerts aside advert adverts advertisement advertising adsense adbox adslot banner banners breadcrumb "
-    "breadcrumbs combx comment comments commentlist community consent cookie cookies copyright cookiebar "
-    "cookiebanner disclaimer discussion disqus disqusthread feedback foot footer footnav form gdpr header "
-    "masthead menu menus modal nav navbar navigation navi newsletter notice notices notification pager "
-    "pagination paywall popup print promo promoted promotion reactions related recommended remark replies reply "
-    "respond responses rss share sharing shoutbox sidebar sidebars sidenav skip skyscraper social sponsor sponsored "
-    "subscribe subscription tags teaser toolbar topbar widget widgets".split()
-)
+# Words of a class or id that mark what is not the article, by kind; plurals follow by rule.
+KINDS = {
+    "menu": "breadcrumb menu nav navbar navi navigation pager pagination skip toolbar topbar",
+    "header or footer": "copyright foot footer header masthead",
+    "sidebar": "aside recommended related sidebar sidenav tag teaser widget",
+    "notice": "alert banner consent cookie cookiebanner cookiebar disclaimer gdpr modal notice notification paywall popup",
+    "advert": "ad adbox adsense adslot adv advert advertisement advertising promo promoted promotion sponsor sponsored",
+    "form": "feedback form newsletter subscribe subscription",
+    "sharing": "community rss share sharing social",
+    "comment": "comment commentlist discussion disqus reaction reply respond response",
+}
+
+
+def _plural(word: str) -> str:
+    return word[:-1] + "ies" if word.endswith("y") else word + "s"
+
+
+def _with_plurals(words: str) -> frozenset:
+    return frozenset(x for w in words.split() for x in (w, _plural(w)))
+
+
+UNLIKELY = _with_plurals(" ".join(KINDS.values()))
 # A name with one of these tells a state of the element, such as "has-sidebar", not its kind.
 STATES = frozenset("has have with without no not is enabled disabled on off open closed".split())
-COMMENTS = frozenset("comment comments commentlist discussion disqus disqusthread replies reply respond responses".split())
+COMMENTS = _with_plurals(KINDS["comment"])
 LIKELY = frozenset("article body content entry main post story text".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 LISTS = frozenset("ul ol dl dir".split())
+PROSE = frozenset("p div section blockquote pre".split())
+DEPTH = 256
+# Points that an element starts with, by its tag; and for a name of LIKELY.
+START = {"article": 40.0, "main": 20.0, "div": 4.0, "section": 4.0, "blockquote": 2.0, "td": 2.0, "ol": -4.0, "ul": -4.0, "li": -4.0, "dd": -4.0}
+NAMED = 20
 NO_NEST_IN_P = BLOCK - frozenset(("html", "body"))
 ENDS = {  # an open element on the left is ended by a start tag on the right
     "p": NO_NEST_IN_P,
@@ -80,11 +101,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "likely", "dropped", "unlikely", "holds", "link", "score", "chars", "linked", "scored")
+    __slots__ = ("tag", "parent", "block", "likely", "dropped", "unlikely", "holds", "link", "score", "chars", "linked", "scored")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: int, unlikely: frozenset = frozenset()):
         self.tag, self.parent, self.likely, self.unlikely = tag, parent, likely, unlikely
         self.dropped = dropped or (parent is not None and parent.dropped)
+        self.block = self if tag in BLOCK or parent is None else parent.block  # that text here belongs to
         self.link = tag == "a" or (parent is not None and parent.link)
         self.score, self.scored, self.chars, self.linked, self.holds = 0.0, False, 0, 0, False
 
@@ -110,7 +132,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int, frozenset]:
                 words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
                 if not words & STATES:
                     unlikely |= words & UNLIKELY
-                likely = max(likely, 25 * bool(words & LIKELY))
+                likely = max(likely, NAMED * bool(words & LIKELY))
                 plain |= token.lower() in LIKELY
         elif name == "role":
             dropped |= value.strip().lower() in DROPPED_ROLES
@@ -125,8 +147,10 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int, frozenset]:
 
 
 def _without_unlikely(blocks: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
-    """The blocks outside unlikely elements. Their names do not count where they hold the first
-    article or main element, or, if none lies outside them, most of the prose."""
+    """The blocks outside unlikely elements. An unlikely name does not count where the element
+    holds the first article or main element, or most of the prose of that element or, if there
+    is none elsewhere, of the page. Comments may well hold most: inside or beside an article
+    their names count."""
     if not any(x.unlikely for x in nodes):
         return blocks
     marks = [x for x in nodes if x.tag in ("article", "main")]
@@ -135,21 +159,28 @@ def _without_unlikely(blocks: list[tuple[Node, str, int]], nodes: list[Node]) ->
         for y in _above(x):
             y.holds = True
     prose: dict[int, int] = {}
+    inside: dict[int, int] = {}
     for node, text, linked in blocks:
         for x in _above(node):
             prose[id(x)] = prose.get(id(x), 0) + len(text) - linked
-    total = sum(len(text) - linked for _, text, linked in blocks)
-    verdicts: dict[int, bool] = {}
-    inside: dict[int, int] = {}
     for mark in marks:
         for x in _above(mark):
             inside[id(x)] = inside.get(id(x), 0) + 1
+    total = sum(len(text) - linked for _, text, linked in blocks)
+    verdicts: dict[int, bool] = {}
 
     def out(x: Node) -> bool:
         if id(x) not in verdicts:
             others = inside.get(id(x), 0) < len(marks)
-            holds = x.holds and not (others and x.unlikely & COMMENTS)
-            verdicts[id(x)] = not (holds or not others and 2 * prose.get(id(x), 0) > total)
+            around = next((y for y in _above(x.parent) if y in first), None)
+            own = prose.get(id(x), 0)
+            if x.holds:
+                keep = not (others and x.unlikely & COMMENTS)
+            elif around is not None:
+                keep = not x.unlikely & COMMENTS and 2 * own > prose.get(id(around), 0)
+            else:
+                keep = not others and 2 * own > total
+            verdicts[id(x)] = not keep
         return verdicts[id(x)]
 
     return [b for b in blocks if not any(x.unlikely and out(x) for x in _above(b[0]))]
@@ -176,7 +207,7 @@ def _blocks(source: str) -> list[tuple[Node, str, int]]:
         if not text:
             return
         if not parts:
-            owner = next((x for x in reversed(stack) if x.tag in BLOCK or x is root), root)
+            owner = stack[-1].block
         if stack[-1].dropped and not owner.dropped:  # an inline element that is ruled out
             parts.append(" ")
             return
@@ -232,6 +263,7 @@ def _blocks(source: str) -> list[tuple[Node, str, int]]:
                     break
             if tag in VOID:
                 continue
+            del stack[DEPTH:]
             node = Node(tag, stack[-1], *_marks(tag, m[3] or ""))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
@@ -252,9 +284,8 @@ def _share(x: Node) -> float:
     return x.linked / x.chars if x.chars else 0.0
 
 
-def main_text(source: str) -> str:
-    """The article's blocks, one a line; empty if there is none."""
-    blocks = _blocks(source)
+def _scored(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, float]]:
+    """The containers that blocks of prose lie in, each with its score."""
     scored: list[Node] = []
     for node, text, linked in blocks:
         if _boilerplate((node, text, linked)):
@@ -268,14 +299,22 @@ def main_text(source: str) -> str:
         while holder is not None:
             if holder.tag in CONTAINER or holder.parent is None:
                 if not holder.scored:
-                    holder.scored, holder.score = True, _start(holder)
+                    holder.scored, holder.score = True, START.get(holder.tag, 0.0) + holder.likely
                     scored.append(holder)
                 holder.score += points / depth
                 depth += 1
             holder = holder.parent
-    if not scored:
+    return [(x, x.score * (1 - _share(x))) for x in scored]
+
+
+def main_text(source: str) -> str:
+    """The article's blocks, one a line; empty if there is none."""
+    blocks = _blocks(source)
+    rated = _scored(blocks)
+    if not rated:
         return ""
-    final = {id(x): x.score * (1 - _share(x)) for x in scored}
+    scored = [x for x, _ in rated]
+    final = {id(x): score for x, score in rated}
     best = max(scored, key=lambda x: final[id(x)])
     top = final[id(best)]
     kept = {id(best)}
@@ -292,7 +331,7 @@ def main_text(source: str) -> str:
         _beside(k, level, blocks, branches, whole)
     if best.tag in ("article", "main"):
         for i, (node, text, linked) in enumerate(blocks):
-            whole[i] |= node.parent is best.parent and node.tag == "p" and _prose(text, linked)
+            whole[i] |= node.parent is best.parent and node.tag in PROSE and _prose(text, linked)
     page = best.tag in ("html", "body", "#root")
     out = []
     for b, (k, _), own in zip(blocks, branches, whole, strict=True):
@@ -323,7 +362,7 @@ def _beside(k: int, level: Node, blocks: list, branches: list[tuple[int, object]
     at = [level if j <= k else child if j == k + 1 else None for j, child in branches]
     parts = {id(level)}
     for (node, text, linked), x in zip(blocks, at, strict=True):
-        if x is not None and (node.tag == "p" and _prose(text, linked) or len(text) > 80 and linked < 0.25 * len(text)):
+        if x is not None and (node.tag in PROSE and _prose(text, linked) or len(text) > 80 and linked < 0.25 * len(text)):
             parts.add(id(x))
     ends = [i for i, x in enumerate(at) if x is not None and id(x) in parts]
     if not ends:
@@ -335,14 +374,6 @@ def _beside(k: int, level: Node, blocks: list, branches: list[tuple[int, object]
         whole[i] |= at[i] is not None and (id(at[i]) in parts or not _boilerplate(blocks[i]))
 
 
-def _start(x: Node) -> float:
-    """Points by kind: an article element is one, a list rarely is."""
-    own = {"article": 50.0, "main": 30.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0}.get(x.tag, 0.0)
-    if x.tag in ("ol", "ul", "li", "dd"):
-        own = -3.0
-    return own + x.likely
-
-
 def _boilerplate(block: tuple[Node, str, int]) -> bool:
     """A block that is mostly links, such as a list of them."""
     node, text, linked = block
@@ -369,7 +400,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
 
     text is the article's blocks in page order, joined by line feeds, white space inside a
     block made one space, character references decoded; empty where there is no main text,
-    and for null or empty html. Repeated rows stay repeated, null keys and urls are kept,
+    and for null or empty html. Of containers with the same score the first one found counts.
+    Pages may be of any length. Repeated rows stay repeated, null keys and urls are kept,
     other columns are not read, and an empty table gives an empty result.
     """
     kinds = dict(pages.dtypes)

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from ndspark.llm import html
@@ -33,3 +36,71 @@ def test_text_split_over_sections():
 def test_references_in_the_article_stay():
     page = f"<body><ul><li><a href=a>Home</a></li></ul><article>{BODY}<p><a href=b>A paper on it</a></p><ol><li><a href=c>A book</a></li></ol></article></body>"
     assert html.main_text(page).split("\n") == [*PROSE, "A paper on it", "A book"]
+
+
+def test_short_parts_and_links_stay():
+    assert html.main_text(f"<body><article>{BODY}<p><a href=x>one link</a></p></article></body>").split("\n") == [*PROSE, "one link"]
+    assert html.main_text("<body><div>Short one.</div><div>Short two.</div><div>Short three.</div></body>").split("\n") == ["Short one.", "Short two.", "Short three."]
+    for mark in ("print", "copyright-law"):
+        page = f"<body><article><div class='{mark}'>{BODY}</div><p>Last.</p></article></body>"
+        assert html.main_text(page).split("\n") == [*PROSE, "Last."]
+    page = f"<body><article>{BODY}<div class='share-tools'><p>Share it, now.</p></div></article></body>"
+    assert html.main_text(page).split("\n") == PROSE
+
+
+def _tree(rng, depth):
+    if depth == 0 or rng.random() < 0.4:
+        words = ", ".join(rng.choice(["a few words", "one", "of it", "x" * rng.randrange(1, 200)]) for _ in range(rng.randrange(1, 8)))
+        return ("p", words, rng.random() < 0.15)
+    return (rng.choice(["div", "section", "article", "blockquote", "ul"]), [_tree(rng, depth - 1) for _ in range(rng.randrange(1, 4))])
+
+
+def _source(x):
+    if x[0] == "p":
+        return f"<p><a href=l>{x[1]}</a></p>" if x[2] else f"<p>{x[1]}</p>"
+    return f"<{x[0]}>{''.join(map(_source, x[1]))}</{x[0]}>"
+
+
+def _scores(x, out):
+    """(points by distance, characters, linked ones) of a subtree; scores of its containers."""
+    if x[0] == "p":
+        return [] if x[2] else [(1 + x[1].count(",") + min(len(x[1]) / 100, 3), 1)], 0 if x[2] else len(x[1])
+    points, chars = [], 0
+    for child in x[1]:
+        own, n = _scores(child, out)
+        points += own
+        chars += n
+    if points:
+        out.append(round(html.START.get(x[0], 0.0) + sum(p / d for p, d in points), 6))
+    return [(p, d + 1) for p, d in points], chars
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_scores_equal_their_definition(seed):
+    tree = ("body", [_tree(random.Random(seed), 5)])
+    want = []
+    points, _ = _scores(tree, want)
+    if points:
+        want.append(round(sum(p / d for p, d in points), 6))  # the page itself
+    got = [round(score, 6) for _, score in html._scored(html._blocks(f"{_source(tree)}"))]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("part, end", [("<div>", "<p>text, here</p>"), ("<div class=ad><p>t, x</p>", ""), ("<div><p>t, x</p>", ""), ("<b>", "x" + "</i>" * 20000), ("<a href='", ""), ("<ul><li>", "")])
+def test_time_is_linear_in_nesting(part, end):
+    took = []
+    for n in (5000, 20000):
+        began = time.process_time()
+        html.main_text(part * n + end)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_empty_tables_ties_and_null_keys(spark):
+    kinds = "page_id long, url string, html string, text int"
+    assert html.extract_text(spark.createDataFrame([], kinds)).count() == 0
+    page = f"<body><div>{BODY}</div></body>"
+    rows = [(None, None, page, 1), (7, "u", page, 1), (7, "u", page, 1), (8, "u", "<p>" + "word, " * 200_000, 1)]
+    got = sorted(((r["page_id"] or 0, r["n_chars"]) for r in html.extract_text(spark.createDataFrame(rows, kinds)).collect()))
+    n = len("\n".join(PROSE))
+    assert got == [(0, n), (7, n), (7, n), (8, 1_200_000 - 1)]
