@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import itertools
 import re
-import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +34,6 @@ ALPHABET = 64
 FEATURES = 2 * ALPHABET**3  # subsequences of length 3, and hashed ones of length 4
 FIRST, LAST = "\x02", "\x03"  # a unit's edges count as characters
 WIDTH, STRIDE = 24, 12  # longer units are read in windows of WIDTH characters
-TRAIN_DOCS = 12_000  # labelled documents, least by the hash of their id, that training reads
-POSITIVE, NEGATIVE = 2_000, 8_000  # units that training starts with at most
-LANDMARKS = 320
-ROUNDS, ROUND_MARKS = 4, 40  # of training, each with so many new landmarks
-HARD = 2_000  # clean units that a machine finds most toxic, for the next one
 HARD_COUNT = 100  # sentences that each counts as
 RIDGE = 0.1
 BIAS = -1.0  # what is like no landmark is clean
@@ -46,14 +41,43 @@ CLEAN_WEIGHT = 4.0  # of all clean units together; a document has many and few m
 FOLDS, HELD_OUT = 5, 0
 MEMO = 250_000  # tokens whose scores a worker remembers
 
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How much training holds at most, at any size of the input. They bound the sample that
+    the machine is fitted on; what is scored has no bound.
+
+    docs: labelled documents that are read, those least by the hash of their id.
+    positive, negative: units that training starts with: the positive ones found in most
+        sentences, half of the negative ones likewise, half by their hash.
+    landmarks: of the Nystroem features at the start; candidates: positive units they are
+        chosen from; broken: positive units that are also trained on with a character put in.
+    rounds: of further training, each with up to `hard` clean units that the machine found most
+        toxic, and `marks` of them as landmarks.
+    """
+
+    docs: int = 12_000
+    positive: int = 2_000
+    negative: int = 8_000
+    landmarks: int = 320
+    candidates: int = 1_000
+    broken: int = 200
+    rounds: int = 4
+    hard: int = 2_000
+    marks: int = 40
+
+
 _PIECES = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:\s[^\W_]){2,}(?!\S)")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{3,}")
 
 
 def token_units(token: str) -> list[str]:
     """The strings that a token (lower case, no white space) stands for: itself without
-    signs, and its parts between signs."""
+    signs, and its parts between signs; in scripts without spaces also each two and three
+    characters that follow each other."""
     if token.isalnum():
         found = [token]
     else:
@@ -62,9 +86,10 @@ def token_units(token: str) -> list[str]:
             found.append("".join(found))
     out = []
     for x in found:
+        for run in () if x.isascii() else _UNSPACED.findall(x):
+            out += [run[i : i + k] for k in (2, 3) for i in range(len(run) - k + 1)]
         if len(x) <= WIDTH:
-            if len(x) > 2:
-                out.append(x)
+            out.append(x)
         else:
             out += [x[i : i + WIDTH] for i in range(0, len(x) - WIDTH + STRIDE, STRIDE)]
     return out
@@ -100,20 +125,30 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Alphabet:
+    """Numbers of characters: one each for the commonest, and for all others one by their hash."""
+
     chars: str
     table: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.table = np.zeros(0x3000, np.int32)  # 0: any other character
+        self.table = self._hashed(np.arange(0x3000))
         for i, c in enumerate(self.chars, 1):
             if ord(c) < len(self.table):
                 self.table[ord(c)] = i
 
+    @staticmethod
+    def _hashed(raw: np.ndarray) -> np.ndarray:
+        return ((raw.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int32) % ALPHABET
+
+    def numbers(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        low = raw < len(self.table)
+        return np.where(low, self.table[np.where(low, raw, 0)], self._hashed(raw))
+
     def features(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For units of one length: a row of feature numbers each, the weights of a row, and
         the norm of each unit's counts. Threes have a number each, fours a hashed one."""
-        raw = np.frombuffer("".join(f"{FIRST}{u}{LAST}" for u in units).encode("utf-32-le", "surrogatepass"), "<u4")
-        codes = self.table[np.where(raw < len(self.table), raw, 0)].reshape(len(units), -1)
+        codes = self.numbers("".join(f"{FIRST}{u}{LAST}" for u in units)).reshape(len(units), -1)
         three, four, fade = _places(codes.shape[1])
         a = (codes[:, three[0]] * ALPHABET + codes[:, three[1]]) * ALPHABET + codes[:, three[2]]
         b = (codes[:, four[0]] * ALPHABET + codes[:, four[1]]) * ALPHABET + codes[:, four[2]]
@@ -215,7 +250,8 @@ class Trainer:
     """Fits units by Nystroem features, and again with clean units that it got most wrong. The
     kernel of units and landmarks is kept; a round adds the rows and columns that are new."""
 
-    def __init__(self, positive: dict[str, int], negative: dict[str, int], landmarks: int = LANDMARKS):
+    def __init__(self, positive: dict[str, int], negative: dict[str, int], bounds: Bounds):
+        landmarks = bounds.landmarks
         rng = np.random.default_rng(7)
         seen: dict[str, int] = {}
         for u, n in [*positive.items(), *negative.items()]:
@@ -226,8 +262,8 @@ class Trainer:
         pos = sorted(positive, key=lambda u: (-positive[u], u))
         neg = sorted(negative, key=lambda u: (-negative[u], u))
         # landmarks: positives far from each other, then the clean units nearest to them
-        pool, chosen = pos[:1000], []
-        near, value = np.zeros(len(pool)), np.log1p([positive[u] for u in pool[:1000]])
+        pool, chosen = pos[: bounds.candidates], []
+        near, value = np.zeros(len(pool)), np.log1p([positive[u] for u in pool])
         for _ in range(min(landmarks // 2, len(pool))):
             best = int(np.argmax((1 - near) * value))
             if near[best] > 0.97:
@@ -240,14 +276,14 @@ class Trainer:
         self.marks += [neg[i] for i in order]
         taken = set(self.marks)
         self.marks += [u for u in neg if u not in taken][: landmarks - len(self.marks)]
-        broken = [x for u in pos[:200] for x in _broken(rng, u, letters) if x not in negative]
+        broken = [x for u in pos[: bounds.broken] if len(u) > 1 for x in _broken(rng, u, letters) if x not in negative]
         self.units = [*pos, *broken, *neg]
         self.y = [1.0] * (len(pos) + len(broken)) + [-1.0] * len(neg)
         self.often = [*[positive[u] for u in pos], *[1] * len(broken), *[negative[u] for u in neg]]
         self.rows = a.gram(self.units, self.marks)
         self.place = {u: i for i, u in enumerate(self.units)}
 
-    def add(self, hard: list[str], marks: int = ROUND_MARKS) -> None:
+    def add(self, hard: list[str], marks: int) -> None:
         """Clean units, the worst first; the worst few become landmarks as well."""
         new = [u for u in hard if u not in self.place]
         for u in hard:
@@ -276,7 +312,8 @@ class Trainer:
         often = np.sqrt(self.often)
         weight = np.where(y > 0, often / often[y > 0].sum(), CLEAN_WEIGHT * often / often[y < 0].sum())
         w = linear_svm(x, y, weight * len(y), RIDGE, BIAS)
-        primal = self.alphabet.combine(self.marks, whiten @ w)
+        self.beta = whiten @ w
+        primal = self.alphabet.combine(self.marks, self.beta)
         return Model(self.alphabet, primal[:, None], BIAS, 1.0, 0.0)
 
 
@@ -336,7 +373,7 @@ def _sentences(text: str):
                 for s in _SENTENCE.findall(body):
                     own = sorted({u for t in tokens_of(s) for u in token_units(t)})
                     if own:
-                        rows.append((toxic, zlib.crc32(s.strip().encode("utf-8", "replace")), own))
+                        rows.append((toxic, xxhash.xxh64_intdigest(s.strip().encode("utf-8", "replace")) - (1 << 63), own))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
@@ -346,15 +383,13 @@ def _sentences(text: str):
     return run
 
 
-def _score(key: str, text: str, extra: str | None, model: Model):
+def _score(key: str, text: str, model: Model):
     def run(batches):
         scorer = Scorer(model)
         for batch in small_batches(batches, text, 8 << 20):
             texts = [(x or b"").decode("utf-8", "surrogatepass") for x in binary_texts(batch, text)]
             margins = scorer.margins(texts)
-            out = {"doc_id": batch.column(key)}
-            if extra:
-                out[extra] = batch.column(extra)
+            out = {key: batch.column(key)}
             out["margin"] = pa.array(margins, pa.float64())
             out["score"] = pa.array([model.probability(m) for m in margins], pa.float64())
             yield pa.RecordBatch.from_pydict(out)
@@ -385,18 +420,22 @@ def train(
     text: str = "text",
     label_key: str = "doc_id",
     label: str = "toxic",
-    train_docs: int = TRAIN_DOCS,
+    bounds: Bounds = Bounds(),
 ) -> Model:
-    """A model from at most train_docs labelled documents whose ids are not held out (those
-    least by the hash of their id). Ids with several or null labels: the largest not null."""
+    """A model from at most bounds.docs labelled documents whose ids are not held out (those
+    least by the hash of their id). Ids with several or null labels: the largest not null. Null
+    ids and texts, repeated rows and equal sentences: a sentence counts once, as clean if any
+    document that holds it is clean. Units found equally often go by their spelling, so that a
+    table always gives the same model. Without labels, or without units of both kinds, the
+    model scores every document by the share of toxic labels."""
     usable = (
         labels.select(F.col(label_key).alias("id"), F.col(label).cast("int").alias("toxic"))
         .where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id"))
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    chosen = stage(least_by_hash(usable, ["id"], train_docs), "toxic-labels")
-    # the labels are at most train_docs rows of two numbers
+    chosen = stage(least_by_hash(usable, ["id"], bounds.docs), "toxic-labels")
+    # the labels are at most bounds.docs rows of two numbers
     rows = stage(
         docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id"),
         "toxic-train",
@@ -420,32 +459,30 @@ def train(
     # so many toxic sentences that chance alone would give no unit as many
     base = sentences.agg(F.avg("toxic")).first()[0] or 0.0
     least = max(3, int(np.ceil(np.log(max(2, units.count())) / -np.log(base)))) if 0 < base < 1 else 3
-    pos = units.where(f"pos >= {least} and pos >= 4 * neg").orderBy(F.desc("pos"), "unit").limit(POSITIVE).collect()
+    pos = units.where(f"pos >= {least} and pos >= 4 * neg").orderBy(F.desc("pos"), "unit").limit(bounds.positive).collect()
     negative = units.where("neg >= 1 and 4 * neg > pos")
-    neg = negative.orderBy(F.desc("neg"), "unit").limit(NEGATIVE // 2).collect()
-    neg += least_by_hash(negative, ["unit"], NEGATIVE // 2).collect()
+    neg = negative.orderBy(F.desc("neg"), "unit").limit(bounds.negative // 2).collect()
+    neg += least_by_hash(negative, ["unit"], bounds.negative // 2).collect()
     if not pos or not neg:
         unstage(chosen, rows, sentences, units)
         return flat
-    trainer = Trainer({r["unit"]: r["pos"] for r in pos}, {r["unit"]: r["neg"] for r in neg})
+    trainer = Trainer({r["unit"]: r["pos"] for r in pos}, {r["unit"]: r["neg"] for r in neg}, bounds)
     model = trainer.fit()
-    for _ in range(ROUNDS):
+    for _ in range(bounds.rounds):
         hard = (
             negative.select("unit")
             .mapInArrow(_margins(model), "unit string, margin double")
             .where("margin > -0.5")
             .orderBy(F.desc("margin"), "unit")
-            .limit(HARD)
+            .limit(bounds.hard)
             .collect()
         )
         if not hard:
             break
-        trainer.add([r["unit"] for r in hard])
+        trainer.add([r["unit"] for r in hard], bounds.marks)
         model = trainer.fit()
     found = (
-        rows.mapInArrow(_score("id", "body", "toxic", model), "doc_id long, toxic int, margin double, score double")
-        .select("toxic", "margin")
-        .collect()
+        rows.mapInArrow(_score("toxic", "body", model), "toxic int, margin double, score double").collect()
     )
     model.slope, model.shift = fit_scale(
         np.array([r["margin"] for r in found]), np.array([r["toxic"] for r in found])
@@ -462,16 +499,18 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     columns are not read, and an empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[key]
-    scored = docs.select(key, text).mapInArrow(
-        _score(key, text, None, model), f"doc_id {kind}, margin double, score double"
-    )
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body"))
+    scored = rows.mapInArrow(_score("doc_id", "body", model), f"doc_id {kind}, margin double, score double")
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labelled documents that are not held out, then score every document."""
+    """Train on the labelled documents that are not held out, then score every document: one row
+    for each row of docs, as score_documents() says. Labels of unknown, repeated or null ids do
+    no harm, as train() says. Either table may be empty, have null in any column and more columns
+    of any names, and ids of any type."""
     return score_documents(docs, train(docs, labels))
 
 
