@@ -100,6 +100,7 @@ BLOSC_SHUFFLES = {"noshuffle": 0, "shuffle": 1, "bitshuffle": 2}
 BLOSC_SHUFFLED, BLOSC_STORED, BLOSC_BITS, BLOSC_WHOLE = 0x1, 0x2, 0x4, 0x10
 BLOSC_HEAD = 16
 BLOSC_SPLIT_MAX, BLOSC_SPLIT_MIN_BLOCK = 16, 128
+BLOSC_MIN_BUFFER = 128  # smaller buffers are stored as they are
 
 
 def shuffle_bytes(raw: bytes, size: int) -> bytes:
@@ -117,21 +118,32 @@ def unshuffle_bytes(raw: bytes, size: int) -> bytes:
     return np.frombuffer(raw[:n], "u1").reshape(size, -1).T.tobytes() + raw[n:]
 
 
+def _swap_bits(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number as an 8 by 8 matrix of bits, transposed: blocks of 1, 2 and 4 bits
+    change places."""
+    for step, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        moved = (x ^ (x >> np.uint64(step))) & np.uint64(mask)
+        x = x ^ moved ^ (moved << np.uint64(step))
+    return x
+
+
 def shuffle_bits(raw: bytes, size: int) -> bytes:
     """The same by bits, for a number of elements that 8 divides; the rest stays."""
     n = len(raw) // (8 * size) * 8 * size
     if not n:
         return raw
-    bits = np.unpackbits(np.frombuffer(raw[:n], "u1").reshape(-1, size), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + raw[n:]
+    planes = np.ascontiguousarray(np.frombuffer(raw[:n], "u1").reshape(-1, size).T)
+    bits = _swap_bits(planes.view("<u8")).view("u1").reshape(size, -1, 8)
+    return bits.transpose(0, 2, 1).tobytes() + raw[n:]
 
 
 def unshuffle_bits(raw: bytes, size: int) -> bytes:
     n = len(raw) // (8 * size) * 8 * size
     if not n:
         return raw
-    bits = np.unpackbits(np.frombuffer(raw[:n], "u1").reshape(size * 8, -1), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + raw[n:]
+    bits = np.frombuffer(raw[:n], "u1").reshape(size, 8, -1).transpose(0, 2, 1)
+    planes = _swap_bits(np.ascontiguousarray(bits).reshape(size, -1).view("<u8")).view("u1")
+    return planes.reshape(size, -1).T.tobytes() + raw[n:]
 
 
 def _inner_encode(name: str, level: int, raw: bytes) -> bytes:
@@ -234,7 +246,7 @@ class Blosc:
             starts.append(at)
             parts.append(struct.pack("<i", len(packed)) + packed)
             at += 4 + len(packed)
-        if at >= n + BLOSC_HEAD:  # stored as it is
+        if n < BLOSC_MIN_BUFFER or at >= n + BLOSC_HEAD:  # stored as it is
             head = struct.pack("<BBBBIII", 2, 1, flags | BLOSC_STORED, size, n, block, n + BLOSC_HEAD)
             return head + raw
         head = struct.pack("<BBBBIII", 2, 1, flags, size, n, block, at)
@@ -289,8 +301,9 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-def crc32c(raw: bytes) -> int:
-    t, c, n = [x.tolist() for x in _crc_table()], 0xFFFFFFFF, len(raw)
+def _crc_step(raw: bytes, c: int) -> int:
+    """The register after some bytes, eight at a time."""
+    t, n = [x.tolist() for x in _crc_table()], len(raw)
     for low, high in struct.iter_unpack("<II", raw[: n - n % 8]):
         low ^= c
         c = (
@@ -299,7 +312,57 @@ def crc32c(raw: bytes) -> int:
         )
     for b in raw[n - n % 8 :]:
         c = t[0][(c ^ b) & 255] ^ c >> 8
-    return c ^ 0xFFFFFFFF
+    return c
+
+
+def _linear(images: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A map of 32-bit numbers that is linear by bits, given by the images of single bits."""
+    out = np.zeros_like(x)
+    for k in range(32):
+        out ^= images[k] * (x >> np.uint32(k) & np.uint32(1))
+    return out
+
+
+@lru_cache(maxsize=256)
+def _crc_shift(n: int) -> np.ndarray:
+    """What n zero bytes make of the register, as the images of its bits."""
+    images = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    if n == 0:
+        return images
+    if n == 1:
+        return _crc_table()[0][images & 255] ^ images >> np.uint32(8)
+    half = _crc_shift(n // 2)
+    images = _linear(half, half)
+    return _linear(_crc_shift(1), images) if n % 2 else images
+
+
+CRC_LANE = 1024  # bytes of a lane at least
+
+
+def crc32c(raw: bytes) -> int:
+    """Many lanes of bytes at once; their registers are then put together in pairs, as the
+    register after two strings is that after the first, moved by the second's length, and that of
+    the second."""
+    n = len(raw)
+    lanes = 1 << min(12, max(0, (n // CRC_LANE).bit_length() - 1))
+    if lanes < 16:
+        return _crc_step(raw, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    size = n // lanes // 8 * 8
+    words = np.ascontiguousarray(np.frombuffer(raw, "<u4", lanes * size // 4).reshape(lanes, -1).T)
+    t, c = _crc_table(), np.zeros(lanes, np.uint32)
+    c[0] = 0xFFFFFFFF
+    at = lambda x, k: x >> np.uint32(k) & np.uint32(255)
+    for i in range(0, len(words), 2):
+        low, high = words[i] ^ c, words[i + 1]
+        c = (
+            t[7][at(low, 0)] ^ t[6][at(low, 8)] ^ t[5][at(low, 16)] ^ t[4][low >> np.uint32(24)]
+            ^ t[3][at(high, 0)] ^ t[2][at(high, 8)] ^ t[1][at(high, 16)] ^ t[0][high >> np.uint32(24)]
+        )
+    span = size
+    while len(c) > 1:
+        c = _linear(_crc_shift(span), c[0::2]) ^ c[1::2]
+        span *= 2
+    return _crc_step(raw[lanes * size :], int(c[0])) ^ 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -479,6 +542,16 @@ class V3Pipeline:
             raw = c.encode(raw)
         return raw
 
+    @property
+    def reads_ranges(self) -> bool:
+        """Whether a part of a chunk can be decoded from a part of its bytes."""
+        return not self.before and not self.after and hasattr(self.middle, "decode_ranges")
+
+    def decode_ranges(self, read, box: list[tuple[int, int]]) -> np.ndarray | None:
+        """The chunk with the box filled in; read(offset, n) gives bytes of the stored chunk,
+        from the end for a negative offset, None if it is not stored."""
+        return self.middle.decode_ranges(read, self.kind, self.chunks, box)
+
     def decode(self, raw: bytes, box: list[tuple[int, int]] | None = None) -> np.ndarray:
         """box: the part of the chunk that is wanted, for codecs that can leave out others."""
         for c in reversed(self.after):

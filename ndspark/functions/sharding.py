@@ -13,6 +13,19 @@ from ..errors import ArgumentError
 from .codecs import V3Pipeline, make_v3_pipeline, register_codec
 
 U64 = parse_v2("<u8")
+GAP_BYTES = 4096  # between inner chunks that are still fetched together
+
+
+def _together(wanted: list[tuple]) -> list[tuple[int, int, list]]:
+    """(from, to, chunks) of sorted byte ranges, those that lie near each other in one."""
+    out: list[tuple[int, int, list]] = []
+    for x in wanted:
+        if out and x[0] - out[-1][1] <= GAP_BYTES:
+            lo, hi, group = out.pop()
+            out.append((lo, max(hi, x[0] + x[1]), [*group, x]))
+        else:
+            out.append((x[0], x[0] + x[1], [x]))
+    return out
 
 
 @dataclass(frozen=True)
@@ -61,27 +74,37 @@ class Sharding:
             return self.index.encode(pairs) + b"".join(parts)
         return b"".join(parts) + self.index.encode(pairs)
 
-    def _pairs(self, raw: bytes) -> np.ndarray:
-        n = self.index.encoded_size()
-        return self.index.decode(raw[:n] if self.at_start else raw[len(raw) - n :])
-
     def decode(self, raw: bytes, kind: DType, shape: tuple[int, ...]) -> np.ndarray:
         return self.decode_box(raw, kind, shape, [(0, n) for n in shape])
 
     def decode_box(self, raw: bytes, kind: DType, shape: tuple[int, ...], box: list[tuple[int, int]]) -> np.ndarray:
         """The shard, with only those inner chunks decoded that touch the box."""
+        if not raw:
+            return self._empty(kind, shape)
+        return self.decode_ranges(lambda at, n: raw[at : at + n] if at >= 0 else raw[at:], kind, shape, box)
+
+    def decode_ranges(self, read, kind: DType, shape: tuple[int, ...], box: list[tuple[int, int]]) -> np.ndarray | None:
+        """The same, where read(offset, n) fetches bytes: the index, then what the box touches,
+        neighbours together. None if there is no shard."""
+        size = self.index.encoded_size()
+        raw = read(0, size) if self.at_start else read(-size, size)
+        if raw is None:
+            return None
         out = self._empty(kind, shape)
         if not raw:
             return out
-        pairs = self._pairs(raw)
+        pairs, wanted = self.index.decode(raw), []
         ranges = [range(lo // c, -(-hi // c)) for (lo, hi), c in zip(box, self.inner, strict=True)]
         for place in itertools.product(*ranges):
             offset, n = (int(v) for v in pairs[place])
-            if offset == formats.EMPTY_INNER and n == formats.EMPTY_INNER:
-                continue
-            part = self.pipeline.decode(raw[offset : offset + n])
-            at = tuple(slice(p * c, min((p + 1) * c, s)) for p, c, s in zip(place, self.inner, shape, strict=True))
-            out[at] = part[tuple(slice(0, a.stop - a.start) for a in at)]
+            if offset != formats.EMPTY_INNER or n != formats.EMPTY_INNER:
+                wanted.append((offset, n, place))
+        for lo, hi, group in _together(sorted(wanted)):
+            raw = read(lo, hi - lo)
+            for offset, n, place in group:
+                part = self.pipeline.decode(raw[offset - lo : offset - lo + n])
+                at = tuple(slice(p * c, min((p + 1) * c, s)) for p, c, s in zip(place, self.inner, shape, strict=True))
+                out[at] = part[tuple(slice(0, a.stop - a.start) for a in at)]
         return out
 
     def to_v3(self) -> dict:

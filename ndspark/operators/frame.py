@@ -53,6 +53,19 @@ def from_c_order(position: Column, shape: tuple[int, ...]) -> list[Column]:
     return out
 
 
+def cells_of_numpy(spark: SparkSession, x: np.ndarray, meta: ArrayMeta) -> DataFrame | None:
+    """(d0.., value) of values in memory, masked ones null; None if there are none."""
+    masked = np.ma.getmaskarray(x).reshape(-1) if np.ma.isMaskedArray(x) else None
+    flat = np.ascontiguousarray(np.ma.getdata(x)).reshape(-1)
+    if not flat.size:
+        return None
+    index = np.unravel_index(np.arange(flat.size), x.shape) if x.ndim else ()
+    like = dt.from_numpy(flat.dtype) if flat.dtype != object else meta.dtype
+    columns = [pa.array(i.astype("i8")) for i in index] + [like.to_arrow(flat, masked)]
+    cells = spark.createDataFrame(pa.table(columns, names=[*axis_names(x.ndim), "value"]))
+    return cells.withColumn("value", F.col("value").cast(meta.dtype.spark))
+
+
 @dataclass(frozen=True)
 class ArrayFrame:
     """df has a bigint column for each axis, and value. store and path are set for an array
@@ -90,10 +103,11 @@ class ArrayFrame:
         chunks: tuple[int, ...] | None = None, fill_value=None, fill_as_missing: bool = False, compressor="default",
         filters: list[dict] | None = None, codecs: list[dict] | None = None, attrs: dict | None = None,
         format: int = 2, dimension_separator: str | None = None, key_encoding: dict | None = None,
-        writeable: bool = True, indent: bool = False,
+        writeable: bool = True, indent: bool = False, first: Callable[[Store, str, ArrayMeta], object] | None = None,
     ) -> ArrayFrame:
         """An empty array: metadata only. kind is a tag of either format; text and ragged types
-        get the filter they need. Without `where` it lives in the driver's memory."""
+        get the filter they need. Without `where` it lives in the driver's memory. `first` is
+        called before the metadata is written, to write chunks that are there once it is."""
         store, path = MemoryStore() if where is None else open_store(where), check_path(path)
         item = ""
         if kind.startswith("array<"):
@@ -119,14 +133,14 @@ class ArrayFrame:
         if format == 3 and filters:
             raise ArgumentError("format 3 has codecs, not filters")
         check_empty(store, path)
+        if first:
+            first(store, path, meta)
         write_meta(store, path, meta, indent)
         return cls.of_store(spark, store, path, meta, writeable, fill_as_missing)
 
     @classmethod
     def zeros(cls, spark: SparkSession, kind: str, shape: tuple[int, ...], where=None, path: str = "", **options) -> ArrayFrame:
-        made = cls.create(spark, kind, shape, where, path, **options)
-        zero_chunks(spark, made.store, made.path, made.meta)
-        return made.reopened()
+        return cls.create(spark, kind, shape, where, path, first=lambda store, at, meta: zero_chunks(spark, store, at, meta), **options)
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, x: np.ndarray, where=None, path: str = "", **options) -> ArrayFrame:
@@ -136,8 +150,12 @@ class ArrayFrame:
             kind = f"array<{dt.from_numpy(np.asarray(x.reshape(-1)[0]).dtype).tag}>"
         else:
             kind = dt.from_numpy(x.dtype).tag
-        made = cls.create(spark, kind, x.shape, where, path, **options)
-        return made.write_numpy(x)
+
+        def fill(store, at, meta):
+            if (cells := cells_of_numpy(spark, x, meta)) is not None:
+                write_cells(cells, store, at, meta)
+
+        return cls.create(spark, kind, x.shape, where, path, first=fill, **options)
 
     @classmethod
     def of_cells(cls, df: DataFrame, shape: tuple[int, ...], chunks: tuple[int, ...] | None = None, fill_value=None) -> ArrayFrame:
@@ -186,6 +204,14 @@ class ArrayFrame:
             rows = rows.withColumn(f"lo{i}", F.col(f"p{i}") * c).withColumn(f"hi{i}", F.least(F.col(f"lo{i}") + c, F.lit(n)))
         return rows
 
+    def chunks_touched(self, *box: tuple[int, int]) -> DataFrame:
+        """(chunk, p0.., lo0, hi0, ..) of the chunks that a read of a box, (lo, hi) for each axis,
+        would fetch."""
+        rows = self.chunk_grid()
+        for i, (lo, hi) in enumerate(box):
+            rows = rows.where((F.col(f"lo{i}") < hi) & (F.col(f"hi{i}") > lo))
+        return rows
+
     # ---- slicing
 
     def slice(self, *ranges) -> ArrayFrame:
@@ -392,15 +418,8 @@ class ArrayFrame:
         return self.reopened()
 
     def write_numpy(self, x: np.ndarray, offset: tuple[int, ...] | None = None) -> ArrayFrame:
-        spark, masked = self.df.sparkSession, np.ma.getmaskarray(x).reshape(-1) if np.ma.isMaskedArray(x) else None
-        flat = np.ascontiguousarray(np.ma.getdata(x)).reshape(-1)
-        index = np.unravel_index(np.arange(flat.size), x.shape) if x.ndim else ()
-        like = dt.from_numpy(flat.dtype) if flat.dtype != object else self.meta.dtype
-        columns = [pa.array(i.astype("i8")) for i in index] + [like.to_arrow(flat, masked)]
-        cells = spark.createDataFrame(pa.table(columns, names=[*axis_names(x.ndim), "value"])) if flat.size else None
-        if cells is None:
-            return self
-        return self.write(cells.withColumn("value", F.col("value").cast(self.meta.dtype.spark)), offset)
+        cells = cells_of_numpy(self.df.sparkSession, x, self.meta)
+        return self if cells is None else self.write(cells, offset)
 
     def fill_box(self, value, *ranges) -> ArrayFrame:
         """Set a box of the stored array to a value."""
@@ -410,38 +429,62 @@ class ArrayFrame:
         return self.write(cells, tuple(lo for lo, _ in box))
 
     def resize(self, *shape: int) -> ArrayFrame:
-        """Change the stored array's shape; see shrink() for what is cut off."""
+        """Change the stored array's shape; see shrink() for what is cut off. The metadata goes
+        first, so that a failure in between leaves chunks that no reader looks at, and no cell of
+        the array is lost; resizing to the same shape again does not clear them, trim() does."""
         store, path = self._own()
         new = self.meta.resized(tuple(shape))
+        write_meta(store, path, new)
         if any(n < was for n, was in zip(new.shape, self.shape, strict=True)):
             shrink(self.df.sparkSession, store, path, self.meta, new)
-        write_meta(store, path, new)
         return self.reopened(new)
 
+    def trim(self, was: tuple[int, ...]) -> ArrayFrame:
+        """Clear what lies outside the array's shape but inside an older one, as a failed append
+        or resize may have left it."""
+        store, path = self._own()
+        outer = tuple(max(a, b) for a, b in zip(was, self.shape, strict=True))
+        shrink(self.df.sparkSession, store, path, self.meta.resized(outer), self.meta)
+        return self.reopened()
+
     def append(self, other: ArrayFrame | np.ndarray, axis: int = 0) -> ArrayFrame:
-        """Grow along an axis by another array, or by one of a rank less as a single entry."""
+        """Grow along an axis by another array, or by one of a rank less as a single entry. Cells
+        are written first and the metadata last: after a failure in between the array is what it
+        was, and appending again writes the same cells."""
         shape = tuple(other.shape)
         if len(shape) == self.rank - 1:
             shape = shape[:axis] + (1,) + shape[axis:]
         if len(shape) != self.rank or any(a != b for i, (a, b) in enumerate(zip(shape, self.shape, strict=True)) if i != axis):
             raise DimensionMismatch(f"{tuple(other.shape)} does not append to {self.shape} along axis {axis}")
-        offset = tuple(self.shape[axis] if i == axis else 0 for i in range(self.rank))
-        grown = self.resize(*[n + (shape[axis] if i == axis else 0) for i, n in enumerate(self.shape)])
+        store, path = self._own()
+        new = self.meta.resized(tuple(n + (shape[axis] if i == axis else 0) for i, n in enumerate(self.shape)))
         if isinstance(other, ArrayFrame):
-            df = other.df
+            cells = other.df
             if other.rank == self.rank - 1:
                 cols = [F.lit(0).cast("bigint").alias(f"d{i}") if i == axis else F.col(f"d{i - (i > axis)}").alias(f"d{i}") for i in range(self.rank)]
-                df = df.select(*cols, "value")
-            return grown.write(df, offset)
-        return grown.write_numpy(np.asarray(other).reshape(shape), offset)
+                cells = cells.select(*cols, "value")
+        else:
+            cells = cells_of_numpy(self.df.sparkSession, np.asarray(other).reshape(shape), new)
+        if cells is not None:
+            write_cells(cells.withColumn(f"d{axis}", F.col(f"d{axis}") + F.lit(self.shape[axis])), store, path, new)
+        write_meta(store, path, new)
+        return self.reopened(new)
+
+    def with_attrs(self, **attrs) -> ArrayFrame:
+        """Change attributes of the stored array; None takes one away."""
+        store, path = self._own()
+        kept = {k: v for k, v in (self.meta.attrs | attrs).items() if v is not None}
+        meta = replace(self.meta, attrs=kept)
+        write_meta(store, path, meta)
+        return self.reopened(meta)
 
     def save(self, where, path: str = "", **options) -> ArrayFrame:
         """Store the array elsewhere; type, fill value and chunks as they are unless given."""
         m = self.meta
         kind = f"array<{m.dtype.item}>" if m.dtype.item else m.dtype.tag if not m.dtype.raw else m.dtype.v3_name
         defaults = {"chunks": m.chunks, "fill_value": m.fill_value, "attrs": m.attrs}
-        made = self.create(self.df.sparkSession, kind, m.shape, where, path, **(defaults | options))
-        return made.write(self.df)
+        fill = lambda store, at, meta: write_cells(self.df, store, at, meta)
+        return self.create(self.df.sparkSession, kind, m.shape, where, path, first=fill, **(defaults | options))
 
     # ---- reading out
 
@@ -474,10 +517,10 @@ class ArrayFrame:
 
     def info(self) -> DataFrame:
         """One row that describes the stored array."""
-        m, total = self.meta, self.nbytes()
-        stored = self.storage_size()
-        names = {k for k, _ in self.store.walk(self.path)}
-        done = sum(1 for k in names if k.rpartition("/")[2] not in ("",) and self._is_chunk(k))
+        m, total, stored, done = self.meta, self.nbytes(), 0, 0
+        for key, n in self.store.walk(self.path):
+            if self._is_chunk(key):
+                stored, done = stored + n, done + 1
         row = {
             "type": "array", "element_type": m.dtype.tag, "shape": list(m.shape), "chunks": list(m.chunks), "order": "C",
             "read_only": not self.writeable, "compressor": str(m.compressor) if m.format == 2 else str([c.get("name") for c in m.pipeline.to_json()]),

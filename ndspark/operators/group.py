@@ -56,6 +56,14 @@ class Group:
         options = {"format": self.meta.format} | options
         return ArrayFrame.create(self.spark, kind, shape, self.store, join(self.path, name), **options)
 
+    def with_attrs(self, **attrs) -> Group:
+        """Change attributes of the group; None takes one away."""
+        self._writeable()
+        kept = {k: v for k, v in (self.meta.attrs | attrs).items() if v is not None}
+        meta = GroupMeta(self.meta.format, kept)
+        write_meta(self.store, self.path, meta)
+        return Group(self.spark, self.store, self.path, meta, True)
+
     def _wrap(self, name: str, meta) -> ArrayFrame | Group:
         path = join(self.path, name)
         if isinstance(meta, ArrayMeta):

@@ -108,8 +108,13 @@ def _write(plan: Plan):
 
 def _values(meta: ArrayMeta, column: pa.Array) -> np.ndarray:
     plain = column.type in (pa.int8(), pa.int16(), pa.int32(), pa.int64(), pa.float32(), pa.float64(), pa.bool_())
-    if plain and meta.dtype.kind in "biuf" and not column.null_count:
-        return column.to_numpy(zero_copy_only=False).astype(meta.dtype.numpy)
+    if plain and meta.dtype.kind in "biuf":
+        if not column.null_count:
+            return column.to_numpy(zero_copy_only=False).astype(meta.dtype.numpy)
+        if meta.fill_value is not None:
+            out = column.fill_null(False if column.type == pa.bool_() else 0).to_numpy(zero_copy_only=False).astype(meta.dtype.numpy)
+            out[column.is_null().to_numpy(zero_copy_only=False)] = meta.dtype.scalar(meta.fill_value)[0]
+            return out
     values = column.to_pylist()
     if column.null_count:
         if meta.fill_value is None:

@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import keys
+from ..errors import NotWriteable
 from ..functions import expressions as ex
 from ..operators.frame import ArrayFrame
 from ..operators.group import Group, cached_array, open_node
 from ..sources.scratch import scratch
-from ..sources.stores import FileStore, HttpStore, ZipStore, open_store, serve, write_zip
+from ..sources.stores import FileStore, HttpStore, MemoryStore, ZipStore, open_store, serve, write_zip
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,8 +142,7 @@ def chunk_key_suffix(spark, sf_dir):
 
 @query(f"SELECT count(DISTINCT (d0 // 100, d1 // 16)) AS chunks FROM {E} WHERE d0 >= 150 AND d0 < 320 AND d1 >= 10 AND d1 < 20")
 def chunk_prune_count(spark, sf_dir):
-    grid = array_e(spark, sf_dir).chunk_grid()
-    return grid.where("lo0 < 320 and hi0 > 150 and lo1 < 20 and hi1 > 10").agg(F.count(F.lit(1)).alias("chunks"))
+    return array_e(spark, sf_dir).chunks_touched((150, 320), (10, 20)).agg(F.count(F.lit(1)).alias("chunks"))
 
 
 # ---- algebra
@@ -361,16 +362,23 @@ def fixed_string(spark, sf_dir):
 @query(f"SELECT count(*) AS differing FROM {E} WHERE value IS NULL")
 def array_equal(spark, sf_dir):
     a = array_e(spark, sf_dir)
-    return a.differs(a.transpose().transpose()).agg(F.count(F.lit(1)).alias("differing"))
+    return a.differs(_saved(a, "equal")).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query(f"SELECT count(*) AS differing FROM {V} WHERE d0 >= 100 AND d0 < 200 AND value IS DISTINCT FROM 5.0::DOUBLE")
+def array_differs(spark, sf_dir):
+    a = array_v(spark, sf_dir)
+    changed = replace(_saved(a, "differs", fill_value=0.0), writeable=True).fill_box(5.0, (100, 200))
+    return a.differs(changed).agg(F.count(F.lit(1)).alias("differing"))
 
 
 @query(
     "SELECT max(vec_id) + 1 AS n0, 64::BIGINT AS n1, (max(vec_id) + 1) * 64 * 8 AS n_bytes, ((max(vec_id) + 100) // 100) * 4 AS chunks FROM embeddings"
 )
 def info_row(spark, sf_dir):
-    a = array_e(spark, sf_dir)
-    row = (a.shape[0], a.shape[1], a.nbytes(), a.meta.n_chunks)
-    return spark.createDataFrame([row], "n0 bigint, n1 bigint, n_bytes bigint, chunks bigint")
+    info = _saved(array_e(spark, sf_dir), "info").info()
+    shape, chunks = F.col("shape"), F.split("chunks_initialized", "/")[1].cast("bigint")
+    return info.select(shape[0].alias("n0"), shape[1].alias("n1"), "n_bytes", chunks.alias("chunks"))
 
 
 @query(
@@ -580,3 +588,121 @@ def group_catalog(spark, sf_dir):
     for name, a in (("embeddings", array_e(spark, sf_dir)), ("events", array_v(spark, sf_dir)), ("orders", array_o(spark, sf_dir))):
         group.create_array(name, a.meta.dtype.tag, a.shape, chunks=a.meta.chunks)
     return group.catalog().select("name", F.size("shape").cast("bigint").alias("rank"), F.col("shape")[0].alias("length"))
+
+
+# ---- making, describing and opening
+
+
+@query("SELECT 700 * 30::BIGINT AS cells, 0::BIGINT AS total, 7 * 2::BIGINT AS chunks")
+def zeros(spark, sf_dir):
+    where = scratch(spark, "zeros")
+    a = ArrayFrame.zeros(spark, "<i4", (700, 30), where, "z", chunks=(100, 15))
+    done = int(a.info().first()["chunks_initialized"].split("/")[0])
+    cells = a.df.agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+    return cells.withColumn("chunks", F.lit(done).cast("bigint"))
+
+
+@query("SELECT r AS d0, c AS d1, (r * 7 - c) / 2.0::DOUBLE AS value FROM (SELECT unnest(range(0, 40)) AS r) a, (SELECT unnest(range(0, 25)) AS c) b")
+def from_memory(spark, sf_dir):
+    x = (np.arange(40)[:, None] * 7 - np.arange(25)[None]) / 2
+    return ArrayFrame.from_numpy(spark, x, scratch(spark, "memory"), "x", chunks=(16, 10)).df
+
+
+@query(f"SELECT 2::BIGINT AS format, count(*) AS cells FROM {U} UNION ALL SELECT 3, count(*) FROM {U}")
+def format_detection(spark, sf_dir):
+    where, parts = scratch(spark, "formats"), []
+    for format in (2, 3):
+        array_u(spark, sf_dir).save(where, f"v{format}", format=format, fill_value=0)
+        a = open_node(spark, where, f"v{format}")
+        parts.append(a.df.agg(F.lit(a.meta.format).cast("bigint").alias("format"), F.count(F.lit(1)).alias("cells")))
+    return parts[0].unionAll(parts[1])
+
+
+@query("SELECT 'kelvin' AS unit, 12::BIGINT AS month, false AS has_note, (SELECT max(event_id) + 1 FROM events) AS length")
+def attributes(spark, sf_dir):
+    where = scratch(spark, "attributes")
+    a = array_v(spark, sf_dir).save(where, "a", attrs={"unit": "celsius", "note": "raw"})
+    a.with_attrs(unit="kelvin", month=12, note=None)
+    b = open_node(spark, where, "a")
+    row = (b.meta.attrs["unit"], b.meta.attrs["month"], "note" in b.meta.attrs, b.shape[0])
+    return spark.createDataFrame([row], "unit string, month bigint, has_note boolean, length bigint")
+
+
+@query(f"SELECT round(sum(value), 4) AS value FROM {V}")
+def scalar_roundtrip(spark, sf_dir):
+    return _saved(array_v(spark, sf_dir).reduce("sum"), "scalar").map(lambda x: F.round(x, 4)).df
+
+
+@query("SELECT ((n + 999) // 1000) * 1000 * 8 AS storage_size, n * 8 AS n_bytes, round(n * 1.0::DOUBLE / (((n + 999) // 1000) * 1000), 9) AS ratio FROM (SELECT max(event_id) + 1 AS n FROM events)")
+def storage_size(spark, sf_dir):
+    info = _saved(array_v(spark, sf_dir), "size", compressor=None).info()
+    return info.select("storage_size", "n_bytes", F.round("storage_ratio", 9).alias("ratio"))
+
+
+@query(f"SELECT d0, round(round_even((value - 100.0::DOUBLE) * 10.0::DOUBLE, 0)::INTEGER / 10.0::DOUBLE + 100.0::DOUBLE, 6) AS value FROM {V}")
+def stored_scale_offset(spark, sf_dir):
+    spec = {"id": "fixedscaleoffset", "offset": 100, "scale": 10, "dtype": "<f8", "astype": "<i4"}
+    return _saved(array_v(spark, sf_dir), "scaled", filters=[spec]).map(lambda x: F.round(x, 6)).df
+
+
+@query(f"SELECT d0, round_even(value * 16.0::DOUBLE, 0) / 16.0::DOUBLE AS value FROM {V}")
+def stored_quantize(spark, sf_dir):
+    spec = {"id": "quantize", "digits": 1, "dtype": "<f8", "astype": "<f8"}
+    return _saved(array_v(spark, sf_dir), "quantized", filters=[spec]).df
+
+
+@query("SELECT c_custkey AS d0, substr(c_mktsegment, 1, 6) AS value FROM customer")
+def fixed_text_roundtrip(spark, sf_dir):
+    """Texts of six characters; longer ones are cut before they are stored."""
+    a = column_array(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", 64).map(lambda x: F.substring(x, 1, 6))
+    made = ArrayFrame.create(spark, "<U6", a.shape, scratch(spark, "fixed"), "t", chunks=(64,))
+    return made.write(a.df).df
+
+
+@query(f"SELECT d0, value FROM {U} WHERE d0 IN (3, 77, 2500, 9001)")
+def pushed_indices(spark, sf_dir):
+    return _saved(array_u(spark, sf_dir), "indices").df.where(F.col("d0").isin(3, 77, 2500, 9001))
+
+
+@query(ALL_U)
+def opened_by_url(spark, sf_dir):
+    where = scratch(spark, "url")
+    array_u(spark, sf_dir).save(open_store(where), "deep/er/a")
+    return spark.read.format("ndarray").option("array", "deep/er/a").load(where)
+
+
+@query(f"SELECT count(*) AS cells, sum(value)::BIGINT AS total FROM {U}")
+def memory_store(spark, sf_dir):
+    """A store in the driver's memory, of an array that fits there: sums by chunks of 1000."""
+    a = array_u(spark, sf_dir)
+    sums = a.df.groupBy(F.expr("d0 div 1000").alias("d0")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    kept = ArrayFrame.of_cells(sums.select("d0", "value"), (a.meta.n_chunks,)).save(MemoryStore(), "m")
+    counts = ArrayFrame.of_cells(sums.select("d0", F.col("n").alias("value")), (a.meta.n_chunks,)).save(MemoryStore(), "n")
+    both = kept.combine(counts, lambda x, n: F.struct(x.cast("double").alias("re"), n.cast("double").alias("im")))
+    return both.df.agg(F.sum("value.im").cast("bigint").alias("cells"), F.sum("value.re").cast("bigint").alias("total"))
+
+
+@query(f"SELECT e.d0, e.d1, round(e.value - m.value, 6) AS value FROM {E} e JOIN (SELECT d1, avg(value) AS value FROM {E} GROUP BY d1) m ON e.d1 = m.d1")
+def singleton_combine(spark, sf_dir):
+    a = array_e(spark, sf_dir)
+    return a.combine(a.reduce("mean", [0], keepdims=True), lambda x, m: F.round(x - m, 6)).df
+
+
+@query("SELECT 'NotWriteable' AS error, count(*) AS cells FROM events")
+def read_only_guard(spark, sf_dir):
+    a = _saved(array_u(spark, sf_dir), "guard")
+    try:
+        a.fill_box(0, (0, 1))
+        error = "none"
+    except NotWriteable as e:
+        error = type(e).__name__
+    return a.df.agg(F.lit(error).alias("error"), F.count(F.lit(1)).alias("cells"))
+
+
+@query(f"SELECT d0, value FROM {V}")
+def zip_file(spark, sf_dir):
+    """An archive as a file in the shared folder, not in the plan."""
+    a = _saved(array_v(spark, sf_dir), "to-zip")
+    uri = f"{scratch(spark, 'zip')}.zip"
+    write_zip(a.store, uri)
+    return ArrayFrame.open(spark, uri, a.path).df

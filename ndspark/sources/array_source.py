@@ -10,8 +10,10 @@ import base64
 import itertools
 import math
 import pickle
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ NAME = "ndarray"
 TASK_BYTES = 4 << 20  # decoded bytes that a task reads at least
 MAX_TASKS = 100_000
 BATCH_ROWS = 1 << 16
+AHEAD_BYTES = 128 << 20  # decoded bytes that a task holds of chunks it has not given out yet
 
 
 def pack(x) -> str:
@@ -48,7 +51,7 @@ def unpack(x: str):
 @dataclass
 class Plan:
     """What a reader needs: the array, the box that is read (lo, hi per axis), how missing
-    chunks and fill values come out."""
+    chunks and fill values come out. only: for some axes the indices that are read."""
 
     store: object
     path: str
@@ -56,9 +59,17 @@ class Plan:
     box: list[tuple[int, int]]
     fill_as_missing: bool = False
     dense: bool = True
+    only: dict[int, tuple[int, ...]] = field(default_factory=dict)
 
-    def chunk_ranges(self) -> list[range]:
-        return [range(lo // c, -(-hi // c)) if hi > lo else range(0) for (lo, hi), c in zip(self.box, self.meta.chunks, strict=True)]
+    def chunk_ranges(self) -> list[range | list[int]]:
+        """The chunks of each axis that the box touches."""
+        out = []
+        for axis, ((lo, hi), c) in enumerate(zip(self.box, self.meta.chunks, strict=True)):
+            if axis in self.only:
+                out.append(sorted({i // c for i in self.only[axis] if lo <= i < hi}))
+            else:
+                out.append(range(lo // c, -(-hi // c)) if hi > lo else range(0))
+        return out
 
 
 @dataclass
@@ -120,6 +131,8 @@ class ArrayReader(DataSourceReader):
         if isinstance(f, In):
             found = [int(v) for v in f.value if v is not None]
             lo, hi = (max(lo, min(found)), min(hi, max(found) + 1)) if found else (lo, lo)
+            kept = self.plan.only.get(axis)
+            self.plan.only[axis] = tuple(sorted(set(found) if kept is None else set(found) & set(kept)))
         elif getattr(f, "value", None) is None:
             return
         elif isinstance(f, EqualTo):
@@ -141,12 +154,17 @@ class ArrayReader(DataSourceReader):
         if partition is None:  # Spark's stand-in where there are no partitions
             return
         ranges = self.plan.chunk_ranges()
-        for i in range(partition.first, partition.last):
-            place = []
-            for r in reversed(ranges):
-                i, at = divmod(i, len(r))
-                place.append(r[at])
-            yield from read_chunk(self.plan, tuple(reversed(place)))
+
+        def places():
+            for i in range(partition.first, partition.last):
+                place = []
+                for r in reversed(ranges):
+                    i, at = divmod(i, len(r))
+                    place.append(r[at])
+                yield tuple(reversed(place))
+
+        for place, part, x in loaded(self.plan, places()):
+            yield from give_cells(self.plan, place, part, x)
 
 
 def same_bits(x: np.ndarray, fill: np.ndarray) -> np.ndarray:
@@ -159,25 +177,58 @@ def same_bits(x: np.ndarray, fill: np.ndarray) -> np.ndarray:
 
 
 def load_chunk(plan: Plan, place: tuple[int, ...], box: list[tuple[int, int]] | None = None) -> np.ndarray | None:
-    """A decoded chunk, None if it is not stored."""
-    raw = plan.store.get("/".join(x for x in (plan.path, plan.meta.key(place)) if x))
+    """A decoded chunk, None if it is not stored. With a box, a part of the chunk, of which a
+    shard is read no further than needed."""
+    key, meta = "/".join(x for x in (plan.path, plan.meta.key(place)) if x), plan.meta
+    if box is not None and meta.format == 3 and meta.pipeline.reads_ranges and box != [(0, n) for n in meta.chunks]:
+        return meta.pipeline.decode_ranges(lambda at, n: plan.store.get_range(key, at, n), box)
+    raw = plan.store.get(key)
     if raw is None:
         return None
-    if plan.meta.format == 3 and box is not None:
-        return plan.meta.pipeline.decode(raw, box)
-    return plan.meta.pipeline.decode(raw)
+    if meta.format == 3 and box is not None:
+        return meta.pipeline.decode(raw, box)
+    return meta.pipeline.decode(raw)
 
 
-def read_chunk(plan: Plan, place: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def part_of(plan: Plan, place: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The part of a chunk that the box touches, counted from the chunk's corner."""
     meta = plan.meta
-    corner = [p * c for p, c in zip(place, meta.chunks, strict=True)]
-    part = [
-        (max(lo, at) - at, min(hi, at + c, n) - at)
-        for (lo, hi), at, c, n in zip(plan.box, corner, meta.chunks, meta.shape, strict=True)
+    return [
+        (max(lo, p * c) - p * c, min(hi, p * c + c, n) - p * c)
+        for (lo, hi), p, c, n in zip(plan.box, place, meta.chunks, meta.shape, strict=True)
     ]
-    if any(hi <= lo for lo, hi in part):
+
+
+def loaded(plan: Plan, places: Iterator[tuple[int, ...]]) -> Iterator[tuple]:
+    """(place, part, chunk) in order, several reads under way at once where the store allows it,
+    within AHEAD_BYTES."""
+    parts = ((place, part_of(plan, place)) for place in places)
+    wanted = ((place, part) for place, part in parts if all(hi > lo for lo, hi in part))
+    each = math.prod(plan.meta.chunks) * max(8, plan.meta.dtype.itemsize)
+    ahead = max(1, min(getattr(plan.store, "fetches", 1), AHEAD_BYTES // max(1, each)))
+    if ahead == 1:
+        for place, part in wanted:
+            yield place, part, load_chunk(plan, place, part)
         return
-    x = load_chunk(plan, place, part)
+    with ThreadPoolExecutor(ahead) as pool:
+        held: deque = deque()
+        try:
+            for place, part in wanted:
+                held.append((place, part, pool.submit(load_chunk, plan, place, part)))
+                if len(held) >= ahead:
+                    place, part, job = held.popleft()
+                    yield place, part, job.result()
+            while held:
+                place, part, job = held.popleft()
+                yield place, part, job.result()
+        finally:
+            for _, _, job in held:
+                job.cancel()
+
+
+def give_cells(plan: Plan, place: tuple[int, ...], part: list[tuple[int, int]], x: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    meta = plan.meta
+    corner = [p * c for p, c in zip(place, meta.chunks, strict=True)]
     sizes = [hi - lo for lo, hi in part]
     if x is None:
         if not plan.dense:

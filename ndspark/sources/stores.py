@@ -23,10 +23,16 @@ from .. import formats
 from ..errors import ArgumentError, NotWriteable
 
 
+REMOTE_FETCHES = 50  # reads under way in a task, of a store behind a network
+
+
 class Store(Protocol):
     """What the engine needs; keys have "/" between parts and none at either end."""
 
     def get(self, key: str) -> bytes | None: ...
+    def get_range(self, key: str, offset: int, n: int) -> bytes | None:
+        """n bytes of a value from an offset, from its end if that is negative."""
+
     def put(self, key: str, value: bytes) -> None: ...
     def delete(self, key: str) -> None: ...
     def exists(self, key: str) -> bool: ...
@@ -59,10 +65,21 @@ def check_path(path: str) -> str:
     return normalize(path)
 
 
+def cut(value: bytes | None, offset: int, n: int) -> bytes | None:
+    if value is None:
+        return None
+    lo = offset if offset >= 0 else max(0, len(value) + offset)
+    return value[lo : lo + n]
+
+
 class _Listed:
-    """children() and size() for stores that can walk."""
+    """children() and size() for stores that can walk; ranges from whole values for those that
+    have no better way. fetches: how many reads a task may have under way."""
+
+    writeable, fetches = True, 1
 
-    writeable = True
+    def get_range(self, key: str, offset: int, n: int) -> bytes | None:
+        return cut(self.get(key), offset, n)
 
     def exists(self, key: str) -> bool:
         return self.get(key) is not None
@@ -106,6 +123,14 @@ class MemoryStore(_Listed):
         return iter(sorted((k, len(v)) for k, v in self.values.items() if k.startswith(lead)))
 
 
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or a path, and the path in it."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), os.path.abspath(uri)
+
+
 class FileStore(_Listed):
     """A folder of any file system that Arrow opens: local, HDFS, S3, GCS."""
 
@@ -116,11 +141,7 @@ class FileStore(_Listed):
         self._open()
 
     def _open(self):
-        uri = re.sub(r"^s3[an]://", "s3://", self.uri)
-        if "://" in uri:
-            self.fs, self.root = pafs.FileSystem.from_uri(uri)
-        else:
-            self.fs, self.root = pafs.LocalFileSystem(), os.path.abspath(uri)
+        self.fs, self.root = _located(self.uri)
 
     def __getstate__(self):
         return {"uri": self.uri}
@@ -143,6 +164,23 @@ class FileStore(_Listed):
                 return None
             raise
 
+    @property
+    def fetches(self) -> int:
+        return 4 if self.fs.type_name == "local" else REMOTE_FETCHES
+
+    def get_range(self, key, offset, n):
+        try:
+            with self.fs.open_input_file(self._at(key)) as f:
+                size = f.size()
+                lo = offset if offset >= 0 else max(0, size + offset)
+                return f.read_at(max(0, min(n, size - lo)), lo)
+        except (FileNotFoundError, IsADirectoryError):
+            return None
+        except OSError:
+            if self.fs.get_file_info(self._at(key)).type != pafs.FileType.File:
+                return None
+            raise
+
     def exists(self, key):
         return self.fs.get_file_info(self._at(key)).type == pafs.FileType.File
 
@@ -184,23 +222,35 @@ class HttpStore(_Listed):
 
     url: str
     missing: tuple[int, ...] = (404,)
-    local, writeable = False, False
+    local, writeable, fetches = False, False, 50
 
-    def get(self, key):
+    def _fetch(self, key: str, headers: dict[str, str]):
         try:
-            with urllib.request.urlopen(f"{self.url.rstrip('/')}/{urllib.parse.quote(key)}") as r:
-                return r.read()
+            request = urllib.request.Request(f"{self.url.rstrip('/')}/{urllib.parse.quote(key)}", headers=headers)
+            with urllib.request.urlopen(request) as r:
+                return r.status, r.read()
         except urllib.error.HTTPError as e:
             if e.code in self.missing:
-                return None
+                return e.code, None
+            if e.code == 416:  # nothing lies in the range
+                return e.code, b""
             raise OSError(f"status {e.code} for {key}; add it to `missing` if it means that a key is absent") from e
 
+    def get(self, key):
+        return self._fetch(key, {})[1]
+
+    def get_range(self, key, offset, n):
+        """A server that knows no ranges sends the whole value."""
+        status, found = self._fetch(key, {"Range": f"bytes={offset}-{offset + n - 1}" if offset >= 0 else f"bytes={offset}"})
+        return found if status == 206 else cut(found, offset, n)
+
     def walk(self, path):
         raise ArgumentError("a web server lists no keys; open a consolidated hierarchy")
 
 
 class ZipStore(_Listed):
-    """Reads the entries of a zip archive, from its path or its bytes."""
+    """Reads the entries of a zip archive, from its path, its URI or its bytes. Only bytes travel
+    with a plan; a file is opened where it is read."""
 
     local, writeable = False, False
 
@@ -210,7 +260,12 @@ class ZipStore(_Listed):
 
     def _open(self):
         self.lock = threading.Lock()
-        self.zip = zipfile.ZipFile(io.BytesIO(self.source) if isinstance(self.source, bytes) else self.source)
+        if isinstance(self.source, bytes):
+            where = io.BytesIO(self.source)
+        else:
+            fs, path = _located(self.source)
+            where = fs.open_input_file(path)
+        self.zip = zipfile.ZipFile(where)
 
     def __getstate__(self):
         return {"source": self.source}
@@ -234,7 +289,12 @@ class ZipStore(_Listed):
 
 
 def write_zip(store: Store, target, path: str = "") -> None:
-    """Write all keys below a path to a zip archive, a file name or a binary file."""
+    """Write all keys below a path to a zip archive: a file name, a URI or a binary file."""
+    if isinstance(target, (str, os.PathLike)):
+        fs, at = _located(os.fspath(target))
+        with fs.open_output_stream(at) as out:
+            write_zip(store, out, path)
+        return
     with zipfile.ZipFile(target, "w", zipfile.ZIP_STORED) as z:
         for key, _ in store.walk(path):
             z.writestr(key[len(path) :].lstrip("/"), store.get(key))
@@ -265,6 +325,13 @@ class ConsolidatedStore(_Listed):
             return None if found is None else json.dumps(found).encode()
         return self.inner.get(key)
 
+    @property
+    def fetches(self) -> int:
+        return self.inner.fetches
+
+    def get_range(self, key, offset, n):
+        return self.inner.get_range(key, offset, n)
+
     def put(self, key, value):
         if key.rpartition("/")[2] in formats.METADATA_NAMES:
             raise ArgumentError("consolidated metadata can't be written")
@@ -295,6 +362,10 @@ class CachingStore(_Listed):
     marks: str = "absent"
     local = False
 
+    @property
+    def fetches(self) -> int:
+        return self.remote.fetches
+
     def get(self, key):
         found = self.cache.get(key)
         if found is not None or self.cache.exists(f"{self.marks}/{key}"):
@@ -366,10 +437,14 @@ def open_store(where) -> Store:
     if not isinstance(where, (str, os.PathLike)):
         return where
     where = os.fspath(where)
+    if where.endswith(".zip") and not re.match(r"^https?://", where):
+        fs, path = _located(where)
+        if fs.get_file_info(path).type == pafs.FileType.File:
+            return ZipStore(where)
     for pattern, make in REGISTRY:
         if pattern.match(where):
             return make(where)
-    return ZipStore(where) if where.endswith(".zip") and os.path.isfile(where) else FileStore(where)
+    return FileStore(where)
 
 
 def serve(store: Store) -> ThreadingHTTPServer:
@@ -378,7 +453,11 @@ def serve(store: Store) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             found = store.get(normalize(urllib.parse.unquote(self.path)))
-            self.send_response(404 if found is None else 200)
+            asked = re.fullmatch(r"bytes=(\d*)-(\d+)?", self.headers.get("Range", ""))
+            if found is not None and asked:
+                lo, hi = asked[1], asked[2]
+                found = found[-int(hi) :] if not lo else found[int(lo) : int(hi) + 1 if hi else None]
+            self.send_response(404 if found is None else 206 if asked else 200)
             self.end_headers()
             self.wfile.write(found or b"")
 

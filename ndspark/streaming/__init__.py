@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.frame import ArrayFrame
 from ..operators.node import write_meta
+from ..operators.sink import write_cells
 
 
 def append_stream(cells: DataFrame, array: ArrayFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -20,10 +21,10 @@ def append_stream(cells: DataFrame, array: ArrayFrame, checkpoint: str, trigger:
         if top is None:
             return
         now: ArrayFrame = state["array"]
-        if top >= now.shape[0]:
-            meta = now.meta.resized((int(top) + 1, *now.shape[1:]))
+        meta = now.meta.resized((max(now.shape[0], int(top) + 1), *now.shape[1:]))
+        write_cells(batch, now.store, now.path, meta)
+        if meta.shape != now.shape:  # last, so that readers see whole batches
             write_meta(now.store, now.path, meta)
-            now = now.reopened(meta)
-        state["array"] = now.write(batch)
+        state["array"] = now.reopened(meta)
 
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
