@@ -134,7 +134,7 @@ def test_format_2_comes_before_3():
     assert node_format(store, "a") == 3
     write_meta(store, "a", ArrayMeta((2,), (1,), kind, attrs={"unit": "K"}))
     assert node_format(store, "a") == 2 and open_meta(store, "a").shape == (2,)
-    assert store.get("a/" + formats.V2_ATTRS) == b'{"a":"b"}'
+    assert store.get("a/" + formats.V2_ATTRS) == b'{"unit":"K"}'
     with pytest.raises(ArgumentError):
         open_meta(store, "b")
     with pytest.raises(ArgumentError):
