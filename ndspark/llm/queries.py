@@ -149,13 +149,6 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-@query()
-def op2_licenses_wrapped(spark, sf_dir: str) -> DataFrame:
-    from .licenses import wrapped_license_scan
-
-    return wrapped_license_scan(table(spark, sf_dir, "documents"))
-
-
 @query(
     """
 WITH u AS (SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
