@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local
-    tests, where it is unset, a new temporary folder that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new
+    temporary folder that is then set, if the master is local; else an error, as executors
+    would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,8 +52,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def unstage(*frames: DataFrame) -> None:
     """Delete what stage() wrote, when no later plan reads it."""
-    for df in frames:
-        path = getattr(df, "staged_at", None)
+    for path, df in {getattr(df, "staged_at", None): df for df in frames}.items():
         if path:
             drop_folder(df.sparkSession, path)
 

@@ -6,10 +6,11 @@ tau then agree within t_i on at least one probed partition. A dynamic program pi
 thresholds by estimated candidate counts. Every fingerprint probes, every hit is verified.
 
 A bucket of more than `bucket_limit` fingerprints is not paired up. Its fingerprints, and
-those that probe it, go to a midpoint step instead: two fingerprints within 2 bits share a
-fingerprint within 1 bit of both, so each emits itself and its 64 neighbours and is linked
-with the least fingerprint at the same midpoint. A midpoint has 65 possible members, so
-nothing grows with the bucket, and no link between classes is lost.
+those that probe it, go to a midpoint step instead: two fingerprints within tau bits share a
+midpoint within half of tau of both, so each emits all numbers that near, itself included, and
+is linked with the least fingerprint that is within the smaller half of the same midpoint. At 2
+bits a midpoint has 65 possible members, so nothing grows with the bucket, and no link between
+classes is lost.
 """
 
 from __future__ import annotations
@@ -177,41 +178,41 @@ def _keys(nodes: DataFrame, plan: Plan, probing: bool) -> DataFrame:
 def links(nodes: DataFrame, plan: Plan, tau: int = 2, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """nodes: distinct `fp`. Returns (a, b) of verified links that connect every pair of
     fingerprints within tau bits: all of them for small buckets, a star for each midpoint
-    for large ones (tau 2 only; else all buckets are paired)."""
+    for large ones."""
     # read by several steps below: written once, however many of them there are
     index = stage(_keys(nodes, plan, False), "simhash-index")
     probes = index if max(plan.thresholds) <= 0 else stage(_keys(nodes, plan, True), "simhash-probes")
     near = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= tau
-    if tau != 2:
-        return (
-            probes.alias("q")
-            .join(index.alias("x"), ["part", "key"])
-            .where((F.col("q.fp") < F.col("x.fp")) & near)
-            .select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"))
-        )
     hot = stage(
         index.groupBy("part", "key").count().where(F.col("count") > bucket_limit).select("part", "key"),
         "simhash-hot",
     )
     cold = index.join(hot, ["part", "key"], "left_anti")
-    paired = (
+    found = (
         probes.alias("q")
         .join(cold.alias("x"), ["part", "key"])
         .where((F.col("q.fp") < F.col("x.fp")) & near)
         .select(F.col("q.fp").alias("a"), F.col("x.fp").alias("b"))
     )
-    if hot.isEmpty():
-        return paired
-    touched = probes.join(hot, ["part", "key"], "left_semi").select("fp").distinct()
-    middles = touched.select(
-        "fp",
-        F.explode(
-            F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])
-        ).alias("z"),
+    if not hot.isEmpty():
+        found = found.unionAll(_stars(probes.join(hot, ["part", "key"], "left_semi").select("fp").distinct(), tau))
+    found = stage(found, "simhash-links")
+    unstage(index, probes, hot)
+    return found
+
+
+def _stars(touched: DataFrame, tau: int) -> DataFrame:
+    """(a, b): each fingerprint and the least one at each of its midpoints."""
+    flips = [
+        F.struct(F.lit(_signed(m)).alias("m"), F.lit(m.bit_count()).alias("far"))
+        for m in _flips((1 << 64) - 1, -(-tau // 2))
+    ]
+    middles = touched.select("fp", F.explode(F.array(*flips)).alias("x")).select(
+        "fp", F.col("fp").bitwiseXOR(F.col("x.m")).alias("z"), "x.far"
     )
-    centres = middles.groupBy("z").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = middles.join(centres, "z").where("fp != b").select(F.col("fp").alias("a"), "b")
-    return paired.unionAll(stars)
+    near = F.when(F.col("far") <= tau // 2, F.col("fp"))
+    centres = middles.groupBy("z").agg(F.min(near).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1 and b is not null")
+    return middles.join(centres, "z").where("fp != b").select(F.col("fp").alias("a"), "b")
 
 
 def near_duplicates(
@@ -241,7 +242,9 @@ def near_duplicates(
         return empty
     some = least_by_hash(nodes.select("fp"), ["fp"], sample).collect()
     plan = fit(np.array([r[0] for r in some], np.int64).view(np.uint64), n, tau)
-    roots = components(links(nodes.select("fp"), plan, tau, bucket_limit), "simhash-links")
+    linked = links(nodes.select("fp"), plan, tau, bucket_limit)
+    roots = components(linked, "simhash-roots")
+    unstage(linked)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

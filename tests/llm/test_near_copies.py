@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ndspark.llm import components, lattice, simhash
 
@@ -72,6 +73,30 @@ def test_a_dense_group_is_linked_by_midpoints(spark):
         assert {f: got.get(f, f) for f in fps} == want
 
 
+@pytest.mark.parametrize("tau", [0, 1, 3])
+def test_other_radii(spark, tau):
+    rng = random.Random(tau)
+    fps = sorted({sum(1 << b for b in rng.sample(range(14), rng.randrange(6))) for _ in range(150)} | {rng.getrandbits(62) for _ in range(40)})
+    fps = sorted({*fps, *[f ^ (1 << 40) ^ (7 << 20 if tau == 3 else 0) for f in fps[-20:]]})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    plan = simhash.fit(np.array(fps, np.uint64), len(fps), tau)
+    want = brute.classes(fps, lambda a, b: (a ^ b).bit_count() <= tau)
+    for limit in (2, 10_000):
+        rows = simhash.links(nodes, plan, tau, limit)
+        assert all((a ^ b).bit_count() <= tau for a, b in rows.collect())
+        got = {r["node"]: r["root"] for r in components.components(rows).collect()}
+        assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_signatures_of_many_edges_do_not_overflow(spark):
+    edges = spark.range(3_000_000).select((F.col("id") + 1).alias("a"), F.lit(0).cast("long").alias("b"))
+    n, mark = components._signature(edges)
+    assert n == 3_000_000 and -(1 << 63) <= mark < 1 << 63 and components._signature(edges.limit(10)) != (n, mark)
+    # the exclusive or of hashes needs no more room, however many there are
+    kinds = edges.agg(F.bit_xor(F.xxhash64("a", "b")).alias("x")).dtypes
+    assert kinds == [("x", "bigint")]
+
+
 def test_deduplicate_and_empty(spark):
     rows = [(3, "a b c d", "en", "x"), (1, "a b c d", "de", "y"), (1, "a b c d", "de", "y"), (7, "quite another text of words", "en", None), (None, "a b c d", None, None)]
     docs = spark.createDataFrame(rows, DOCS)

@@ -44,6 +44,30 @@ def test_stages_keep_the_columns(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "bpe"]
 
 
+def test_stages_on_nulls_repeats_and_empty_tables(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    words = " ".join(f"wort{i}" for i in range(300))
+    near = words.replace("wort150 ", "other ")
+    rows = [
+        (5, words, "de", 1), (5, words, "de", 1), (3, near, None, None), (None, words, "en", 2), (None, "quite alone here", "en", 3), (None, "Quite  alone here", "en", 3),
+        (8, None, "en", 4), (9, "", None, 4), (10, " \n", "en", 4), (11, f"{words[:60]} {item}", "en", 5), (11, f"{words[:60]} {item}", "en", 5), (12, "long " * 100_000, "en", 6),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int")
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        assert apply(spark, docs.limit(0), sf).count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(map(str, stages["toxicity"](spark, docs, sf).collect())) == sorted(map(str, docs.collect()))
+    kept = stages["simhash"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower().split()[:2]) for r in kept.collect()) == [
+        (0, ["quite", "alone"]), (3, ["wort0", "wort1"]), (8, []), (11, ["wort0", "wort1"]), (12, ["long", "long"]),
+    ]
+    clean = stages["decontamination"](spark, docs, sf)
+    assert sorted(r["doc_id"] or 0 for r in clean.collect()) == [0, 0, 0, 3, 5, 5, 8, 9, 10, 12]
+    encoded = stages["bpe"](spark, docs, sf).collect()
+    assert len(encoded) == len(rows) and {r["n_tokens"] for r in encoded if r["doc_id"] in (8, 9, 10)} == {0}
+
+
 def test_native_operators_have_no_python_on_the_path(spark, sf):
     for name in ("op2_licenses", "op4_preferences"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
