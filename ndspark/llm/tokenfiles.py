@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -72,9 +73,10 @@ def publish(fs: pafs.FileSystem, temporary: str, path: str) -> None:
 
 class ChunkTokenizer:
     """The tokenizers library over whole texts, chunk by chunk between ASCII white space, which
-    no token of such a file spans. Remembers recent chunks."""
+    no token of such a file spans. Remembers recent chunks, and the words of plain ones: the
+    library gets new words, many in one text, and the ends of words part its ids again."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,9 +84,39 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.limit = memo
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marks = [x.content.lower().encode() for x in added]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.plain = re.compile(rb"[a-z0-9!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+").fullmatch if suffix else lambda c: None
+        self.find = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+
+    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _by_words(self, chunks: list[bytes]) -> None:
+        split = [self.find(c) for c in chunks]
+        new = list({w for words in split for w in words if w not in self.words})
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+            new = list({w for words in split for w in words})
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for group, ids in zip(groups, self._library([b" ".join(g) for g in groups]), strict=True):
+            raw, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(group):  # not a file whose words end so
+                self.words |= {w: x.tobytes() for w, x in zip(group, self._library(group), strict=True)}
+                continue
+            starts = [0, *ends[:-1].tolist()]
+            self.words |= {w: raw[lo:hi] for w, lo, hi in zip(group, starts, ends.tolist(), strict=True)}
+        get = self.words.__getitem__
+        for c, words in zip(chunks, split, strict=True):
+            self.memo[c] = b"".join(map(get, words))
 
     def encode_all(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -96,14 +128,16 @@ class ChunkTokenizer:
         if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
             new = list({c for chunks in split for c in chunks})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            texts = [c.decode("utf-8", "surrogatepass") for c in part]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.memo[c] = array("I", e.ids).tobytes()
+        plain, other = [], []
+        for c in new:
+            (plain if len(c) <= 64 and self.plain(c) else other).append(c)
+        self._by_words(plain)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            self.memo |= {c: x.tobytes() for c, x in zip(part, self._library(part), strict=True)}
         get = self.memo.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
-        for c in new:  # long chunks are not kept
+        for c in other:  # long chunks are not kept
             if len(c) > 64:
                 del self.memo[c]
         return out
