@@ -4,6 +4,9 @@ The longest common prefix of turns is the prompt and is rendered once; the turns
 the two completions, in which only the assistant's turns are training targets. A pair is one
 row for each rendered turn, so a conversation of any length is never gathered: the first turn
 that differs is a minimum over a pair's turns, aggregated before it is shuffled.
+
+Texts are dealt out once, by conversation and turn, which also parts a very long conversation.
+What holds for a whole conversation is found from numbers alone and comes to its turns by them.
 """
 
 from __future__ import annotations
@@ -40,6 +43,13 @@ def unique_turns(
     return rows.groupBy(F.col(key).alias("conv_id"), F.col(turn).alias("turn")).agg(F.min(said).alias("said"))
 
 
+def _with_value(turns: DataFrame, values: DataFrame, key: str, name: str) -> DataFrame:
+    """Turns with the value of their conversation, null if it has none. Texts stay where they are:
+    only numbers of conversations and turns go to the values and come back."""
+    own = values.toDF(key, name)
+    return turns.join(turns.select(key, "turn").join(own, key, "left"), [key, "turn"])
+
+
 def format_preferences(
     chosen: DataFrame,
     rejected: DataFrame,
@@ -62,13 +72,14 @@ def format_preferences(
         unique_turns(df, key, turn, role, text).toDF("pair_id", "turn", side)
         for df, side in ((chosen, "c"), (rejected, "r"))
     )
-    turns = left.join(right, ["pair_id", "turn"], "full")
     split = (
-        turns.where(~F.col("c").eqNullSafe(F.col("r")))
-        .groupBy(F.col("pair_id").alias("own"))
+        left.join(right, ["pair_id", "turn"], "full")
+        .where(~F.col("c").eqNullSafe(F.col("r")))
+        .groupBy("pair_id")
         .agg(F.min("turn").alias("first"))
     )
-    placed = turns.join(split, turns.pair_id == split.own, "left")
+    sides = [_with_value(df, split, "pair_id", f"first_{i}") for i, df in enumerate((left, right))]
+    placed = sides[0].join(sides[1], ["pair_id", "turn"], "full").withColumn("first", F.coalesce("first_0", "first_1"))
     shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))
     parts = F.when(shared, F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("said")))).otherwise(
         F.array(
@@ -94,22 +105,12 @@ def swapped_answers(conversations: DataFrame) -> DataFrame:
     conversation without an answer stays as it is, so that it is all prompt. Turns are those of
     unique_turns()."""
     turns = unique_turns(conversations)
-    last = (
-        turns.where(F.col("said.role") == TARGET_ROLE)
-        .groupBy("conv_id")
-        .agg(F.max(F.struct("turn", F.col("said.text").alias("answer"))).alias("l"))
-        .select("conv_id", F.col("l.turn").alias("last"), F.col("l.answer").alias("answer"))
-    )
-    donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"))
-    swaps = last.select("conv_id", "last").join(donors, "conv_id", "left")
-    swapped = F.col("turn") == F.col("last")
+    last = turns.where(F.col("said.role") == TARGET_ROLE).groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    answers = turns.join(last, ["conv_id", "turn"]).select((F.col("conv_id") - 1).alias("conv_id"), F.col("said.text").alias("other"))
+    swaps = last.join(answers, "conv_id", "left").select("conv_id", "turn", F.coalesce("other", F.lit("")).alias("other"))
     return (
-        turns.join(swaps, "conv_id", "left")
+        _with_value(turns, last, "conv_id", "last")
         .where("last is null or turn <= last")
-        .select(
-            "conv_id",
-            "turn",
-            F.col("said.role").alias("role"),
-            F.when(swapped, F.coalesce("other", F.lit(""))).otherwise(F.col("said.text")).alias("text"),
-        )
+        .join(swaps, ["conv_id", "turn"], "left")
+        .select("conv_id", "turn", F.col("said.role").alias("role"), F.coalesce("other", "said.text").alias("text"))
     )
