@@ -11,13 +11,17 @@ The trained function, a weighted sum of kernels with the landmarks, is linear in
 subsequence counts. It is therefore stored as one weight for each subsequence of length 3,
 which gives the same values without a pass over the landmarks for each string. A document
 scores by its most toxic unit, put on a probability scale by a logistic fit.
+
+Insults of two words that are harmless alone are found as phrases: pairs of neighbouring words,
+without signs and doubled letters, that stand in many different contexts of toxic sentences,
+more than chance would give any pair, and in no clean one.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +43,7 @@ RIDGE = 0.1
 BIAS = -1.0  # what is like no landmark is clean
 CLEAN_WEIGHT = 4.0  # of all clean units together; a document has many and few may be wrong
 FOLDS, HELD_OUT = 5, 0
+PHRASE = 1.5  # the margin of a text with a toxic phrase
 MEMO = 250_000  # tokens whose scores a worker remembers
 
 
@@ -55,6 +60,7 @@ class Bounds:
         chosen from; broken: positive units that are also trained on with a character put in.
     rounds: of further training, each with up to `hard` clean units that the machine found most
         toxic, and `marks` of them as landmarks.
+    phrases: of two words, those found in most contexts.
     """
 
     docs: int = 12_000
@@ -66,6 +72,7 @@ class Bounds:
     rounds: int = 4
     hard: int = 2_000
     marks: int = 40
+    phrases: int = 500
 
 
 _PIECES = re.compile(r"[^\W_]+")
@@ -104,6 +111,20 @@ def tokens_of(text: str) -> set[str]:
     return found
 
 
+_DOUBLED = re.compile(r"(.)\1+")
+
+
+def plain_form(token: str) -> str:
+    """A token (lower case) without signs, its doubled letters once."""
+    return _DOUBLED.sub(r"\1", token if token.isalnum() else "".join(_PIECES.findall(token)))
+
+
+def neighbours(sentence: str) -> list[tuple[str, str, str, str]]:
+    """(before, first, second, after) of each two neighbouring words, in plain form."""
+    forms = ["", *filter(None, map(plain_form, sentence.lower().split())), ""]
+    return list(zip(forms, forms[1:-2], forms[2:-1], forms[3:], strict=False))
+
+
 @lru_cache(maxsize=WIDTH + 3)
 def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the subsequences of length 3 and 4 that span at most SPAN characters of a
@@ -214,6 +235,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    phrases: frozenset = frozenset()  # of "first second"
 
     def units(self, units: list[str]) -> np.ndarray:
         return self.alphabet.kernel(units, self.weights)[:, 0] + self.bias
@@ -340,6 +362,12 @@ class Scorer:
 
     def __init__(self, model: Model, memo: int = MEMO):
         self.model, self.limit, self.memo = model, memo, {}
+        self.parts = {w for x in model.phrases for w in x.split(" ")}
+
+    def _has_phrase(self, text: str, tokens: set[str]) -> bool:
+        if len({w for t in tokens if (w := plain_form(t)) in self.parts}) < 2 - any(a == b for a, b in map(str.split, self.model.phrases)):
+            return False
+        return any(f"{a} {b}" in self.model.phrases for s in _SENTENCE.findall(text) for _, a, b, _ in neighbours(s))
 
     def margins(self, texts: list[str]) -> list[float]:
         floor = -2.0
@@ -361,6 +389,8 @@ class Scorer:
         for t in new:
             if len(t) > 64:
                 del self.memo[t]
+        if self.parts:
+            out = [PHRASE if m < PHRASE and self._has_phrase(t, s) else m for m, t, s in zip(out, texts, split, strict=True)]
         return out
 
 
@@ -383,6 +413,57 @@ def _sentences(text: str):
     return run
 
 
+def _neighbours(text: str):
+    """(pair, context) of all neighbouring words."""
+
+    def run(batches):
+        for batch in small_batches(batches, text, 4 << 20):
+            for raw in binary_texts(batch, text):
+                body = (raw or b"").decode("utf-8", "surrogatepass")
+                found = {(f"{b} {c}", xxhash.xxh64_intdigest(f"{a} {d}".encode("utf-8", "replace")) - (1 << 63)) for s in _SENTENCE.findall(body) for a, b, c, d in neighbours(s)}
+                cols = list(zip(*found, strict=True)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["pair", "context"])
+
+    return run
+
+
+def _held_pairs(text: str, wanted: frozenset):
+    """Those of the pairs that a text holds."""
+
+    def run(batches):
+        for batch in small_batches(batches, text, 4 << 20):
+            found = set()
+            for raw in binary_texts(batch, text):
+                body = (raw or b"").decode("utf-8", "surrogatepass")
+                found |= wanted.intersection(f"{b} {c}" for s in _SENTENCE.findall(body) for _, b, c, _ in neighbours(s))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["pair"])
+
+    return run
+
+
+def _phrases(rows: DataFrame, base: float, alone: set[str], bounds: Bounds) -> frozenset:
+    """Pairs of words, none of them in `alone`, for Model. rows: toxic, body."""
+    if not 0 < base < 1:
+        return frozenset()
+    pairs = stage(
+        rows.where("toxic > 0").mapInArrow(_neighbours("body"), "pair string, context long").distinct()
+        .groupBy("pair").count(),
+        "toxic-pairs",
+    )
+    # so many contexts that chance alone would give no pair as many
+    least = max(4, int(np.ceil(np.log(max(2, pairs.count())) / -np.log(base))))
+    often = pairs.where(F.col("count") >= least).orderBy(F.desc("count"), "pair")
+    parts = {plain_form(x) for x in alone}
+    wanted = [r["pair"] for r in often.limit(4 * bounds.phrases).collect()]
+    wanted = frozenset([x for x in wanted if parts.isdisjoint(x.split(" "))])
+    unstage(pairs)
+    if not wanted:
+        return wanted
+    clean = rows.where("toxic <= 0").mapInArrow(_held_pairs("body", wanted), "pair string").distinct().collect()
+    left = wanted.difference(r["pair"] for r in clean)
+    return frozenset(sorted(left)[: bounds.phrases])
+
+
 def _score(key: str, text: str, model: Model):
     def run(batches):
         scorer = Scorer(model)
@@ -463,11 +544,13 @@ def train(
     negative = units.where("neg >= 1 and 4 * neg > pos")
     neg = negative.orderBy(F.desc("neg"), "unit").limit(bounds.negative // 2).collect()
     neg += least_by_hash(negative, ["unit"], bounds.negative // 2).collect()
-    if not pos or not neg:
+    phrases = _phrases(rows, base, {r["unit"] for r in pos}, bounds)
+    if not (pos or phrases) or not neg:
         unstage(chosen, rows, sentences, units)
         return flat
-    trainer = Trainer({r["unit"]: r["pos"] for r in pos}, {r["unit"]: r["neg"] for r in neg}, bounds)
-    model = trainer.fit()
+    # with phrases alone there is no unit to be like
+    trainer = Trainer({r["unit"]: r["pos"] for r in pos} or {FIRST * 3: 1}, {r["unit"]: r["neg"] for r in neg}, bounds)
+    model = replace(trainer.fit(), phrases=phrases)
     for _ in range(bounds.rounds):
         hard = (
             negative.select("unit")
@@ -480,7 +563,7 @@ def train(
         if not hard:
             break
         trainer.add([r["unit"] for r in hard], bounds.marks)
-        model = trainer.fit()
+        model = replace(trainer.fit(), phrases=phrases)
     found = (
         rows.mapInArrow(_score("toxic", "body", model), "toxic int, margin double, score double").collect()
     )

@@ -76,3 +76,13 @@ def test_training_is_bounded_by_its_parameters(spark):
     docs, labels = _table(spark, "zwarfig", 200)
     model = toxicity.train(docs, labels, bounds=toxicity.Bounds(docs=60, positive=5, negative=40, landmarks=20, rounds=1, hard=10, marks=2))
     assert toxicity.score_documents(docs, model).count() == docs.count()
+
+
+def test_phrases_of_harmless_words(spark):
+    docs, labels = _table(spark, "mokban torlim")  # words of the same parts as all others
+    bare = spark.createDataFrame([("one", "lim mokban ser torlim at", 0.0), ("both", "at Mok-baan, torlimm. ser", 0.0), ("apart", "at mokban. torlim ser", 0.0)], docs.schema)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs.unionAll(bare), labels).collect()}
+    held = [r for r in got.values() if r["held_out"] and r["doc_id"][1:].isdigit()]
+    right = [r["predicted"] == int(int(r["doc_id"][1:]) % 4 == 0) for r in held]
+    assert sum(right) >= 0.95 * len(right)
+    assert [got[i]["predicted"] for i in ("one", "both", "apart")] == [0, 1, 0]
