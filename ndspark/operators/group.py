@@ -140,6 +140,12 @@ def open_node(spark: SparkSession, where, path: str = "", mode: str = "r", **opt
 
 
 def cached_array(array: ArrayFrame, where) -> ArrayFrame:
-    """The same array, read through a cache in another store, chunk by chunk."""
+    """The same array, read through a cache in another store, chunk by chunk. A cache that was
+    made of an array with other metadata is an error."""
     store = CachingStore(array.store, open_store(where))
+    mark, own = f"{store.marks}/{join(array.path, 'metadata')}", dumps(array.meta.to_json())
+    if (found := store.cache.get(mark)) not in (None, own):
+        raise ArgumentError("the cache holds chunks of an array with other metadata")
+    if found is None:
+        store.cache.put(mark, own)
     return ArrayFrame.of_store(array.df.sparkSession, store, array.path, array.meta, False, array.fill_as_missing)

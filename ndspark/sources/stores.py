@@ -123,31 +123,42 @@ class MemoryStore(_Listed):
         return iter(sorted((k, len(v)) for k, v in self.values.items() if k.startswith(lead)))
 
 
-def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+# Schemes whose file systems take credentials of their own.
+KEYED = {"s3": "S3FileSystem", "gs": "GcsFileSystem", "gcs": "GcsFileSystem", "abfs": "AzureFileSystem", "abfss": "AzureFileSystem"}
+
+
+def _located(uri: str, credentials: dict | None = None) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or a path, and the path in it."""
     uri = re.sub(r"^s3[an]://", "s3://", uri)
+    if credentials:
+        scheme, _, rest = uri.partition("://")
+        if scheme not in KEYED or not hasattr(pafs, KEYED[scheme]):
+            raise ArgumentError(f"{scheme or uri!r} takes no credentials")
+        return getattr(pafs, KEYED[scheme])(**credentials), rest
     if "://" in uri:
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), os.path.abspath(uri)
 
 
 class FileStore(_Listed):
-    """A folder of any file system that Arrow opens: local, HDFS, S3, GCS."""
+    """A folder of any file system that Arrow opens: local, HDFS, S3, GCS. credentials: options of
+    the cloud's Arrow file system, such as access_key and secret_key, or anonymous; without them
+    the environment's count. They travel with plans to the executors."""
 
     local = False
 
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, credentials: dict | None = None):
+        self.uri, self.credentials = uri, credentials
         self._open()
 
     def _open(self):
-        self.fs, self.root = _located(self.uri)
+        self.fs, self.root = _located(self.uri, self.credentials)
 
     def __getstate__(self):
-        return {"uri": self.uri}
+        return {"uri": self.uri, "credentials": self.credentials}
 
     def __setstate__(self, state):
-        self.uri = state["uri"]
+        self.uri, self.credentials = state["uri"], state["credentials"]
         self._open()
 
     def _at(self, key: str) -> str:
@@ -432,11 +443,13 @@ def _web(url: str) -> Store:
         return store
 
 
-def open_store(where) -> Store:
+def open_store(where, credentials: dict | None = None) -> Store:
     """A store as it is, or that of a URL, a zip file or a folder."""
     if not isinstance(where, (str, os.PathLike)):
         return where
     where = os.fspath(where)
+    if credentials:
+        return FileStore(re.sub(BUCKET_HOST, "gs://", where), credentials)
     if where.endswith(".zip") and not re.match(r"^https?://", where):
         fs, path = _located(where)
         if fs.get_file_info(path).type == pafs.FileType.File:

@@ -238,3 +238,25 @@ def test_nulls_become_fill_values_in_bulk(spark):
     b = a.write(cells)
     assert sorted((r["d0"], r["value"]) for r in b.df.collect()) == [(i, float(i) if i % 2 == 0 else None) for i in range(6)]
     assert sink.blank_chunk(a.meta).tolist() == [-2.5] * 3
+
+
+def test_a_cache_of_another_array_is_refused(spark, tmp_path):
+    from ndspark.operators.group import cached_array
+
+    a = ArrayFrame.from_numpy(spark, np.arange(6), f"{tmp_path}/s", "a", chunks=(4,))
+    for _ in range(2):
+        assert cached_array(a, f"{tmp_path}/cache").to_numpy().tolist() == list(range(6))
+    with pytest.raises(ArgumentError):
+        cached_array(a.append(np.arange(3)), f"{tmp_path}/cache")
+
+
+def test_credentials_go_to_the_file_system():
+    import pickle
+
+    pytest.importorskip("pyarrow._s3fs")
+    store = stores.open_store("s3a://bucket/top", {"access_key": "k", "secret_key": "s", "region": "us-east-1"})
+    again = pickle.loads(pickle.dumps(store))
+    assert again.fs.type_name == "s3" and again.root == "bucket/top" and again.fs.region == "us-east-1"
+    assert again.fetches == stores.REMOTE_FETCHES
+    with pytest.raises(ArgumentError):
+        stores.open_store("hdfs://x/y", {"user": "z"})
