@@ -42,6 +42,7 @@ TASK_BYTES = 4 << 20  # of neighbouring ranges for a task at least
 MOST_TASKS = 10_000  # ranges of a larger total are dealt to so many tasks
 READ_BYTES = 256 << 10
 BROADCAST_ROWS = 1 << 20  # repeated payloads, of about 100 bytes each, that are sent to all tasks
+FILTER_BITS = 1 << 26  # of the bit map that is sent instead of more
 DATE = "2024-01-01T00:00:00Z"  # the input has no capture time
 
 
@@ -98,6 +99,22 @@ def _write(uri: str, file_bytes: int):
     return run
 
 
+def _marked(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows with `kept` of their digest. Few repeated digests are broadcast. Of many, a bit map of
+    FILTER_BITS is: rows whose bit is not set stay where they are, and only the others are dealt
+    out by digest with their bodies."""
+    if kept.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(kept), ["digest", "n"], "left")
+    bit = f"pmod(xxhash64(digest), {FILTER_BITS})"
+    word, mask = F.expr(f"{bit} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("mask")
+    # at most FILTER_BITS / 64 rows
+    bits = kept.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    tried = rows.select("*", word, mask).join(F.broadcast(bits), "word", "left")
+    may = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.lit(False))
+    alone = tried.where(~may).select(*rows.columns, F.lit(None).cast(dict(kept.dtypes)["kept"]).alias("kept"))
+    return tried.where(may).select(rows.columns).join(kept, ["digest", "n"], "left").select(alone.columns).unionAll(alone)
+
+
 def write_warc(
     pages: DataFrame,
     uri: str,
@@ -126,9 +143,7 @@ def write_warc(
         .select("digest", "n", "kept")
     )
     kept = stage(kept, "warc-kept")
-    if kept.count() <= BROADCAST_ROWS:  # else both sides are dealt out by digest
-        kept = F.broadcast(kept)
-    marked = rows.join(kept, ["digest", "n"], "left").select(
+    marked = _marked(rows, kept).select(
         "page_id", "url", "html", "digest", F.expr("if(page_id < kept, kept, null)").alias("refers_to")
     )
     files = marked.mapInArrow(_write(uri, file_bytes), "name string, size long").collect()

@@ -27,10 +27,13 @@ def test_records_inside_payloads_are_not_records(spark, split):
 
 
 def test_both_ways_of_joining_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "u", "x" * (1000 + i % 3)) for i in range(40)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(i, "u", "x" * (1000 + i % 3 if i < 40 else i + 2000)) for i in range(60)], "page_id long, url string, html string")
     rows = sorted(map(str, warc.warc_round_trip(df).collect()))
     monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
     assert sorted(map(str, warc.warc_round_trip(df).collect())) == rows
+    for bits in (64, 128):  # most rows have their bit set by another
+        monkeypatch.setattr(warc, "FILTER_BITS", bits)
+        assert sorted(map(str, warc.warc_round_trip(df).collect())) == rows
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
