@@ -485,12 +485,6 @@ def stored_assign(spark, sf_dir):
     return replace(a, writeable=True).fill_box(-1.5, (490, 510)).df
 
 
-@query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V} WHERE d0 < 700")
-def stored_append(spark, sf_dir):
-    a = _saved(array_v(spark, sf_dir), "append", fill_value=0.0)
-    return replace(a, writeable=True).append(a.slice((0, 700))).df
-
-
 @query(f"SELECT d0, value FROM {V} UNION ALL SELECT d0 + (SELECT max(event_id) + 1 FROM events), value FROM {V}")
 def stored_append_whole(spark, sf_dir):
     a = _saved(array_v(spark, sf_dir), "append", fill_value=0.0)
@@ -566,12 +560,6 @@ def _over_http(spark, sf_dir) -> ArrayFrame:
         server.shutdown()
 
 
-@query(f"SELECT d0, d1, value FROM {E} WHERE d0 < 200")
-def store_roundtrip_http(spark, sf_dir):
-    """The whole array goes over HTTP; the rows are those that the SQL asks for."""
-    return _over_http(spark, sf_dir).slice((0, 200)).df
-
-
 @query(ALL_E)
 def store_roundtrip_http_whole(spark, sf_dir):
     return _over_http(spark, sf_dir).df
