@@ -282,14 +282,17 @@ def filed(
 
 def _differ(x: str, y: str, words: range) -> F.Column:
     return reduce(
-        lambda a, b: a + b, [F.bit_count(F.col(f"{x}")[i].bitwiseXOR(F.col(f"{y}")[i])) for i in words]
+        lambda a, b: a + b, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in words]
     )
 
 
-def _met(x: DataFrame, y: DataFrame, also, similarity: float) -> DataFrame:
-    """(a, b) of members of a bucket whose sizes and checked words are near enough."""
+def _met(x: DataFrame, y: DataFrame, also, similarity: float, whole: bool = False) -> DataFrame:
+    """(a, b) of members of a bucket whose sizes and checked words are near enough; with `whole`
+    their fingerprints."""
     apart = [F.bit_count(F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))) for i in range(CHECKED)]
     near = reduce(lambda a, b: a + b, apart) <= radius(64 * CHECKED, similarity)
+    if whole:
+        near = near & (_differ("x.fp", "y.fp", range(LANES)) <= radius(64 * LANES, similarity))
     sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
     met = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & sizes & near & also)
     return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
@@ -355,9 +358,10 @@ class Search:
         placed = self._placed(crowd, edges)
         counted = placed.groupBy("h", "root").count()
         most = counted.groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-        placed = stage(placed.join(most, "h"), "near-placed")
+        # groups of texts that are like each other, but not enough, are told apart by all bits
+        placed = stage(placed.join(most, "h").join(self.nodes.select("sig", "fp"), "sig"), "near-placed")
         apart = F.col("x.root") != F.col("y.root")
-        met = _met(placed.where("root != most"), placed, apart & (less | (F.col("y.root") == F.col("y.most"))), self.similarity)
+        met = _met(placed.where("root != most"), placed, apart & (less | (F.col("y.root") == F.col("y.most"))), self.similarity, True)
         rest = self.verified(met)
         unstage(index, large, crowd, placed)
         return edges.unionAll(rest)
