@@ -337,7 +337,7 @@ class Search:
         """(a, b) of verified links that connect what shares a bucket and reaches the similarity."""
         checked = [F.col("fp")[i].alias(f"c{i}") for i in range(CHECKED)]
         index = stage(
-            self.nodes.where("n > 0").select("sig", "n", *checked, F.explode("buckets").alias("h")).repartition("h"),
+            self.nodes.where("n > 0").select("sig", "n", *checked, F.explode("buckets").alias("h")),
             "near-index",
         )
         large = stage(index.groupBy("h").count().where(F.col("count") > bucket_limit).select("h"), "near-large")
