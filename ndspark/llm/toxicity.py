@@ -191,7 +191,7 @@ class Alphabet:
         for i, u in enumerate(units):
             by_length.setdefault(len(u), []).append(i)
         for n, own in by_length.items():
-            step = max(1, (1 << 21) // (len(_places(n + 2)[2]) * weights.shape[1]))
+            step = max(1, (1 << 20) // (len(_places(n + 2)[2]) * weights.shape[1]))
             step = min(step, 2048)
             for lo in range(0, len(own), step):
                 rows = own[lo : lo + step]
@@ -211,7 +211,7 @@ class Alphabet:
             np.add.at(out[:, i], index[0], fade / norm[0])
         return out
 
-    def gram(self, units: list[str], marks: list[str], block: int = 48) -> np.ndarray:
+    def gram(self, units: list[str], marks: list[str], block: int = 24) -> np.ndarray:
         """The kernel of every unit with every landmark, a few landmarks at once."""
         parts = [self.kernel(units, self.counts(marks[i : i + block])) for i in range(0, len(marks), block)]
         return np.concatenate(parts, axis=1) if parts else np.zeros((len(units), 0), np.float32)
@@ -467,7 +467,7 @@ def _phrases(rows: DataFrame, base: float, alone: set[str], bounds: Bounds) -> f
 def _score(key: str, text: str, model: Model):
     def run(batches):
         scorer = Scorer(model)
-        for batch in small_batches(batches, text, 8 << 20):
+        for batch in small_batches(batches, text, 4 << 20):
             texts = [(x or b"").decode("utf-8", "surrogatepass") for x in binary_texts(batch, text)]
             margins = scorer.margins(texts)
             out = {key: batch.column(key)}
@@ -600,7 +600,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _clean_rows(text: str, model: Model):
     def run(batches):
         scorer = Scorer(model)
-        for batch in small_batches(batches, text, 8 << 20):
+        for batch in small_batches(batches, text, 4 << 20):
             texts = [(x or b"").decode("utf-8", "surrogatepass") for x in binary_texts(batch, text)]
             keep = [model.probability(m) < 0.5 for m in scorer.margins(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
