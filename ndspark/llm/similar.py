@@ -13,8 +13,9 @@ a bucket are compared by their sizes and by four words of their fingerprints tha
 whole fingerprints, and last by their shingles, exactly. So no link is false.
 
 A bucket of more than `bucket_limit` sets is not paired up at once: links to a few members that
-are drawn by hash come first, and then only pairs that are not linked yet are compared. That
-steers cost: every pair of a bucket is either compared or already in one component.
+are drawn by hash come first. Then, in buckets of any size, only pairs that are not linked yet are
+compared: members of one large group of copies also meet in many small buckets. That steers cost:
+every pair of a bucket is either compared or already in one component.
 """
 
 from __future__ import annotations
@@ -286,30 +287,29 @@ def _differ(x: str, y: str, words: range) -> F.Column:
     )
 
 
-def _met(x: DataFrame, y: DataFrame, also, similarity: float, whole: bool = False) -> DataFrame:
-    """(a, b) of members of a bucket whose sizes and checked words are near enough; with `whole`
-    their fingerprints."""
-    apart = [F.bit_count(F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))) for i in range(CHECKED)]
-    near = reduce(lambda a, b: a + b, apart) <= radius(64 * CHECKED, similarity)
+def _near(similarity: float, whole: bool) -> F.Column:
+    """Whether x and y share a bucket, and their sizes and checked words are near enough; with
+    `whole` their fingerprints too."""
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+    near = sizes & (_differ("x.fp", "y.fp", range(CHECKED)) <= radius(64 * CHECKED, similarity))
     if whole:
         near = near & (_differ("x.fp", "y.fp", range(LANES)) <= radius(64 * LANES, similarity))
-    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
-    met = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & sizes & near & also)
+    return (F.col("x.h") == F.col("y.h")) & near
+
+
+def _pairs_of(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
 
 
 class Search:
-    """The steps that compare sets: by buckets, by whole fingerprints, by shingles."""
+    """The steps that compare sets: by buckets and fingerprints, by shingles."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, similarity: float):
         self.docs, self.nodes, self.key, self.text, self.similarity = docs, nodes, key, text, similarity
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those (a, b) whose sets reach the similarity."""
-        met = stage(pairs.distinct(), "near-met")
-        x, y = (self.nodes.select(F.col("sig").alias(s), F.col("fp").alias(f"f{s}")) for s in "ab")
-        near = _differ("fa", "fb", range(LANES)) <= radius(64 * LANES, self.similarity)
-        close = stage(met.join(x, "a").join(y, "b").where(near).select("a", "b"), "near-close")
+        close = stage(pairs.distinct(), "near-close")
         held = stage(close.select(F.col("a").alias("sig")).unionAll(close.select("b")).distinct(), "near-held")
         own = stage(self._sets_of(held), "near-sets")
         both = F.size(F.array_intersect("x", "y"))
@@ -318,7 +318,7 @@ class Search:
         enough = both * (1000 + s) >= s * (F.size("x") + F.size("y"))
         linked = close.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(enough).select("a", "b")
         done = stage(linked, "near-linked")
-        unstage(met, close, held, own)
+        unstage(close, held, own)
         return done
 
     def _sets_of(self, held: DataFrame) -> DataFrame:
@@ -333,46 +333,73 @@ class Search:
         made = own.mapInArrow(_sets(self.text), "sig long, toks array<long>")
         return made.join(few, "sig", "left_semi").dropDuplicates(["sig"])
 
+    def _filed(self, nodes: DataFrame, *columns, words: int = LANES) -> DataFrame:
+        """A row for each bucket of a set, with so many words of its fingerprint."""
+        own = nodes.where("n > 0").select("sig", "n", F.slice("fp", 1, words).alias("fp"), "buckets", *columns)
+        return own.select("sig", "n", "fp", *columns, F.explode("buckets").alias("h"))
+
     def links(self, bucket_limit: int) -> DataFrame:
         """(a, b) of verified links that connect what shares a bucket and reaches the similarity."""
-        checked = [F.col("fp")[i].alias(f"c{i}") for i in range(CHECKED)]
-        index = stage(
-            self.nodes.where("n > 0").select("sig", "n", *checked, F.explode("buckets").alias("h")),
-            "near-index",
-        )
-        large = stage(index.groupBy("h").count().where(F.col("count") > bucket_limit).select("h"), "near-large")
-        less = F.col("x.sig") < F.col("y.sig")
+        keys = self.nodes.where("n > 0").select(F.explode("buckets").alias("h"))
+        large = stage(keys.groupBy("h").count().where(F.col("count") > bucket_limit).select("h"), "near-large")
         if large.isEmpty():
-            edges = self.verified(_met(index, index, less, self.similarity))
-            unstage(index, large)
+            edges = self._across(self.nodes.withColumn("root", F.col("sig")), None)
+            unstage(large)
             return edges
-        small = index.join(large, "h", "left_anti")
-        crowd = stage(index.join(large, "h", "left_semi"), "near-crowd")
-        row = F.struct("sig", "n", *[f"c{i}" for i in range(CHECKED)])
-        drawn = [F.min_by(row, F.xxhash64("sig", F.lit(i))) for i in range(DRAWN)]
-        chosen = crowd.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("d"))
-        chosen = chosen.select("h", F.explode("d").alias("d")).select("h", "d.*")
-        other = F.col("x.sig") != F.col("y.sig")
-        met = _met(small, small, less, self.similarity).unionAll(_met(crowd, chosen, other, self.similarity))
-        edges = self.verified(met)
-        placed = self._placed(crowd, edges)
-        counted = placed.groupBy("h", "root").count()
-        most = counted.groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-        # groups of texts that are like each other, but not enough, are told apart by all bits
-        placed = stage(placed.join(most, "h").join(self.nodes.select("sig", "fp"), "sig"), "near-placed")
+        drawn = self._drawn(large)
+        roots = components(drawn, "near-roots")
+        unstage(drawn)
+        rooted = self.nodes.join(roots, F.col("sig") == F.col("node"), "left").drop("node")
+        rooted = stage(rooted.withColumn("root", F.coalesce("root", "sig")), "near-rooted")
+        rest = self._across(rooted, large)
+        unstage(large, rooted)
+        return roots.toDF("a", "b").unionAll(rest)
+
+    def _drawn(self, large: DataFrame) -> DataFrame:
+        """(a, b) of verified links of members of large buckets to those that are drawn there."""
+        crowd = stage(self._filed(self.nodes).join(large, "h", "left_semi"), "near-crowd")
+        least = [F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in range(DRAWN)]
+        chosen = crowd.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("d"))
+        chosen = chosen.select("h", F.explode("d").alias("sig")).join(self.nodes.select("sig", "n", "fp"), "sig")
+        near = _near(self.similarity, True) & (F.col("x.sig") != F.col("y.sig"))
+        edges = self.verified(_pairs_of(crowd.alias("x").join(chosen.alias("y"), near)))
+        unstage(crowd)
+        return edges
+
+    def _across(self, rooted: DataFrame, large: DataFrame | None) -> DataFrame:
+        """(a, b) of verified links of sets that share a bucket and have different roots. Members
+        that are near any such one come first, a row each: only they bring whole fingerprints, and
+        a pair is met in its least bucket alone."""
+        filed = self._filed(rooted, "root", words=CHECKED)
+        small = filed if large is None else filed.join(large, "h", "left_anti")
         apart = F.col("x.root") != F.col("y.root")
-        met = _met(placed.where("root != most"), placed, apart & (less | (F.col("y.root") == F.col("y.most"))), self.similarity, True)
-        rest = self.verified(met)
-        unstage(index, large, crowd, placed)
-        return edges.unionAll(rest)
-
-    def _placed(self, crowd: DataFrame, edges: DataFrame) -> DataFrame:
-        """The members of large buckets that hold more than one component, with their roots."""
-        roots = components(edges, "near-roots")
-        rows = crowd.join(roots, crowd.sig == roots.node, "left").drop("node")
-        rows = rows.withColumn("root", F.coalesce("root", "sig"))
-        split = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-        return rows.join(split, "h", "left_semi")
+        near, open_ = _near(self.similarity, False) & apart, ["h", "sig", "root", "most"]
+        found = small.alias("x").join(small.alias("y"), near, "left_semi")
+        found = found.select("h", "sig", "root", F.lit(None).cast("long").alias("most"))
+        parts = []
+        if large is not None:
+            # the commonest root of a large bucket has its members compared with the others only
+            crowd = filed.join(large, "h", "left_semi")
+            counted = crowd.groupBy("h", "root").count()
+            most = counted.groupBy("h").agg(
+                F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
+            )
+            placed = stage(crowd.join(most.where("roots > 1").select("h", "most"), "h"), "near-placed")
+            others = placed.where("root != most")
+            others = stage(others.alias("x").join(placed.alias("y"), near, "left_semi"), "near-others")
+            common = placed.where("root = most").alias("x").join(others.alias("y"), near, "left_semi")
+            found = found.unionAll(others.select(open_)).unionAll(common.select(open_))
+            parts = [placed, others]
+        found = stage(found, "near-found")
+        whole = stage(found.join(self.nodes.select("sig", "n", "fp", "buckets"), "sig"), "near-whole")
+        once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.h")
+        way = (F.col("x.sig") < F.col("y.sig")) | (F.col("y.root") == F.col("y.most"))
+        met = whole.where("most is null or root != most").alias("x").join(
+            whole.alias("y"), _near(self.similarity, True) & apart & way & once
+        )
+        edges = self.verified(_pairs_of(met))
+        unstage(found, whole, *parts)
+        return edges
 
 
 def _marked(text: str):

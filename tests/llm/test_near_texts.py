@@ -97,3 +97,25 @@ def test_thresholds_of_one_find_pairs_with_one_bit(n):
     assert ((plan.buckets(fps) == plan.buckets(near)).sum(axis=1) == 1).all()
     fitted = similar.fit(fps, n)
     assert fitted.recall >= similar.TARGET and len({b for g in fitted.groups for b in g}) == sum(map(len, fitted.groups))
+
+
+def test_linked_members_of_a_large_group_are_not_paired_up(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"g{i}" for i in range(5000)]
+    base, compared, plain = [rng.choice(words) for _ in range(150)], [], similar.Search.verified
+    texts = {}
+    for i in range(900):
+        own = list(base) if i % 2 else [rng.choice(words) for _ in range(150)]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(150)] = rng.choice(words)
+        texts[i] = " ".join(own)
+
+    def counted(self, pairs):
+        compared.append(pairs.distinct().count())
+        return plain(self, pairs)
+
+    monkeypatch.setattr(similar.Search, "verified", counted)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], DOCS)
+    got = {r["doc_id"] for r in similar.deduplicate(docs).collect()}
+    root = brute.classes(sorted(texts), lambda a, b: a % 2 == b % 2 == 1 and _linked(texts[a], texts[b]))
+    assert got == set(root.values()) and sum(compared) < 20 * len(texts)
