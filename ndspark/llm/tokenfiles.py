@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -83,7 +84,8 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.limit = memo
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -118,29 +120,56 @@ class ChunkTokenizer:
         for c, words in zip(chunks, split, strict=True):
             self.memo[c] = b"".join(map(get, words))
 
-    def encode_all(self, raws: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for raw in raws:
-            low = raw.lower()  # A-Z alone; not where that could make a special token
-            split.append((raw if any(x in low for x in self.marks) else low).split())
-        new = list({c for chunks in split for c in chunks if c not in self.memo})
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list({c for chunks in split for c in chunks})
+    def _remember(self, found: list[bytes]) -> None:
+        """Every chunk's ids into the memo. When that is half of the limit it becomes the older one,
+        from which chunks that come again are taken back."""
+        get, memo = self.older.get, self.memo
+        new = []
+        for c in found:
+            if c not in memo:
+                ids = get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    memo[c] = ids
         plain, other = [], []
         for c in new:
             (plain if len(c) <= 64 and self.plain(c) else other).append(c)
         self._by_words(plain)
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
-            self.memo |= {c: x.tobytes() for c, x in zip(part, self._library(part), strict=True)}
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        for c in other:  # long chunks are not kept
+            memo |= {c: x.tobytes() for c, x in zip(part, self._library(part), strict=True)}
+
+    def encode_all(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Arrow cuts the texts and
+        numbers the chunks, so that Python meets each distinct one once."""
+        lows = []
+        for raw in raws:
+            low = raw.lower()  # A-Z alone; not where that could make a special token
+            lows.append(raw if any(x in low for x in self.marks) else low)
+        texts = pa.array(lows, pa.large_binary())
+        chunks = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), texts.buffers()))
+        ends = chunks.offsets.to_numpy()
+        coded = chunks.values.dictionary_encode()
+        own = coded.dictionary
+        found = pa.Array.from_buffers(pa.large_binary(), len(own), own.buffers()).to_pylist()
+        self._remember(found)
+        made = list(map(self.memo.__getitem__, found))
+        for c in found:  # long chunks are not kept
             if len(c) > 64:
                 del self.memo[c]
-        return out
+        if len(self.memo) > self.limit // 2:
+            self.older, self.memo = self.memo, {b"": b""}
+        ids = np.frombuffer(b"".join(made), "<u4")
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        # the place of each id: where its chunk's ids start, and how far it is in them
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - after[:-1], counts)
+        place += np.arange(len(place))
+        flat, cuts = ids[place], after[ends].tolist()
+        return [flat[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)

@@ -285,3 +285,15 @@ def test_subsequence_kernel_equals_its_definition():
             dot = sum(v * cy.get(k, 0) for k, v in cx.items())
             want = dot / np.sqrt(sum(v * v for v in cx.values()) * sum(v * v for v in cy.values()))
             assert abs(got[i, j] - want) < 2e-3
+
+
+def test_chunks_that_come_again_stay_in_a_full_memo(monkeypatch):
+    encoder, asked = tokenfiles.ChunkTokenizer(PATH, memo=600), []
+    plain = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: (asked.extend(texts), plain(texts))[1])
+    library = Tokenizer.from_file(PATH)
+    for batch in range(8):
+        texts = [" ".join(f"\u00e9{i} b{i}, neu\u00e9{batch * 200 + i}" for i in range(lo, lo + 50)) for lo in (0, 50, 0)] + ["", " \t\x0b\x0c", "\u00a0\x1c"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [asked.count(f"\u00e9{i}".encode()) for i in range(100)] == [1] * 100
