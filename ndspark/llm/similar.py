@@ -12,10 +12,12 @@ A threshold of 1 files a set under its key with one bit left out, for each bit.
 a bucket are compared by their sizes and by four words of their fingerprints that no partition uses, then by the
 whole fingerprints, and last by their shingles, exactly. So no link is false.
 
-A bucket of more than `bucket_limit` sets is not paired up at once: links to a few members that
-are drawn by hash come first. Then, in buckets of any size, only pairs that are not linked yet are
-compared: members of one large group of copies also meet in many small buckets. That steers cost:
-every pair of a bucket is either compared or already in one component.
+A bucket of more than `bucket_limit` sets is not paired up at once: each member is verified with
+two of a few members that are drawn by hash first. The same follows in buckets of any size, as
+members of one large group of copies also meet in many small ones, among those that are not linked
+yet. Pairs of a bucket that are then in different components are listed once; each set is verified
+with two of its own, and all the pairs that this leaves in different components are verified. That
+steers cost: every pair of a bucket is either compared or already in one component.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ WIDTHS = range(8, 31, 2)  # bits of a partition
 ROW_COST = 30  # of a row in a bucket, which is shuffled and sorted, against one comparison
 BUCKET_LIMIT = 64
 DRAWN = 8  # members of a large bucket that all others are compared with first
+AGAIN = 2  # members of any bucket that those with other roots are compared with next
 SENT = 1 << 20  # keys or signatures that are broadcast; for more, both sides are shuffled
 STEPS = 400  # of the dynamic program
 _SALTS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
@@ -298,7 +301,27 @@ def _near(similarity: float, whole: bool) -> F.Column:
 
 
 def _pairs_of(met: DataFrame) -> DataFrame:
-    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
+    """(x, y, d): two sets and their differing bits."""
+    d = _differ("x.fp", "y.fp", range(LANES))
+    return met.select(F.col("x.sig").alias("x"), F.col("y.sig").alias("y"), d.alias("d"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs of each x that with the nearest y, and that with the first by hash, which
+    is the same for most members of a group."""
+    own = pairs.groupBy("x").agg(F.min_by("y", "d").alias("near"), F.min_by("y", F.xxhash64("y")).alias("first"))
+    return _ordered(own.select("x", F.explode(F.array("near", "first")).alias("y")))
+
+
+def _drawn_of(rows: DataFrame, k: int) -> DataFrame:
+    """(h, sig) of at most k members of each bucket."""
+    least = [F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in range(k)]
+    chosen = rows.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("d"))
+    return chosen.select("h", F.explode("d").alias("sig"))
 
 
 class Search:
@@ -306,21 +329,29 @@ class Search:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, similarity: float):
         self.docs, self.nodes, self.key, self.text, self.similarity = docs, nodes, key, text, similarity
+        self.sets = None  # (sig, toks) of all that is compared next, if they are there
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those (a, b) whose sets reach the similarity."""
         close = stage(pairs.distinct(), "near-close")
-        held = stage(close.select(F.col("a").alias("sig")).unionAll(close.select("b")).distinct(), "near-held")
-        own = stage(self._sets_of(held), "near-sets")
+        own = self.sets
+        if own is None:
+            own = self._staged_sets(close.select(F.col("a").alias("sig")).unionAll(close.select("b")))
         both = F.size(F.array_intersect("x", "y"))
         # |x & y| >= s |x | y|, in whole numbers where s is a fraction of 1000
         s = round(1000 * self.similarity)
         enough = both * (1000 + s) >= s * (F.size("x") + F.size("y"))
         linked = close.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(enough).select("a", "b")
         done = stage(linked, "near-linked")
-        unstage(close, held, own)
+        unstage(close, *([own] if self.sets is None else []))
         return done
 
+    def _staged_sets(self, held: DataFrame) -> DataFrame:
+        held = stage(held.distinct(), "near-held")
+        own = stage(self._sets_of(held), "near-sets")
+        unstage(held)
+        return own
+
     def _sets_of(self, held: DataFrame) -> DataFrame:
         """(sig, toks) of signatures, from the rows with their least keys."""
         sent = lambda df: F.broadcast(df) if df.count() <= SENT else df
@@ -343,33 +374,30 @@ class Search:
         keys = self.nodes.where("n > 0").select(F.explode("buckets").alias("h"))
         large = stage(keys.groupBy("h").count().where(F.col("count") > bucket_limit).select("h"), "near-large")
         if large.isEmpty():
-            edges = self._across(self.nodes.withColumn("root", F.col("sig")), None)
             unstage(large)
-            return edges
+            return self._across(self.nodes.withColumn("root", F.col("sig")), None, None)
         drawn = self._drawn(large)
         roots = components(drawn, "near-roots")
         unstage(drawn)
         rooted = self.nodes.join(roots, F.col("sig") == F.col("node"), "left").drop("node")
         rooted = stage(rooted.withColumn("root", F.coalesce("root", "sig")), "near-rooted")
-        rest = self._across(rooted, large)
+        edges = self._across(rooted, large, roots.toDF("a", "b"))
         unstage(large, rooted)
-        return roots.toDF("a", "b").unionAll(rest)
+        return edges
 
     def _drawn(self, large: DataFrame) -> DataFrame:
         """(a, b) of verified links of members of large buckets to those that are drawn there."""
         crowd = stage(self._filed(self.nodes).join(large, "h", "left_semi"), "near-crowd")
-        least = [F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in range(DRAWN)]
-        chosen = crowd.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("d"))
-        chosen = chosen.select("h", F.explode("d").alias("sig")).join(self.nodes.select("sig", "n", "fp"), "sig")
+        chosen = _drawn_of(crowd, DRAWN).join(self.nodes.select("sig", "n", "fp"), "sig")
         near = _near(self.similarity, True) & (F.col("x.sig") != F.col("y.sig"))
-        edges = self.verified(_pairs_of(crowd.alias("x").join(chosen.alias("y"), near)))
+        edges = self.verified(_few(_pairs_of(crowd.alias("x").join(chosen.alias("y"), near))))
         unstage(crowd)
         return edges
 
-    def _across(self, rooted: DataFrame, large: DataFrame | None) -> DataFrame:
-        """(a, b) of verified links of sets that share a bucket and have different roots. Members
-        that are near any such one come first, a row each: only they bring whole fingerprints, and
-        a pair is met in its least bucket alone."""
+    def _across(self, rooted: DataFrame, large: DataFrame | None, known: DataFrame | None) -> DataFrame:
+        """The known links, and (a, b) of verified ones that connect sets that share a bucket and have
+        different roots. Members that are near any such one come first, a row each: only they bring
+        whole fingerprints, and a pair is met in its least bucket alone."""
         filed = self._filed(rooted, "root", words=CHECKED)
         small = filed if large is None else filed.join(large, "h", "left_anti")
         apart = F.col("x.root") != F.col("y.root")
@@ -392,15 +420,32 @@ class Search:
             parts = [placed, others]
         found = stage(found, "near-found")
         whole = stage(found.join(self.nodes.select("sig", "n", "fp", "buckets"), "sig"), "near-whole")
+        self.sets = self._staged_sets(whole.select("sig"))
+        chosen = whole.join(_drawn_of(whole, AGAIN), ["h", "sig"], "left_semi")
+        near = _near(self.similarity, True)
+        edges = self.verified(_few(_pairs_of(whole.alias("x").join(chosen.alias("y"), near & apart))))
+        edges = edges if known is None else known.unionAll(edges)
+        roots = components(edges, "near-roots").toDF("sig", "now")
+        now = whole.join(roots, "sig", "left").withColumn("now", F.coalesce("now", "sig"))
         once = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.h")
         way = (F.col("x.sig") < F.col("y.sig")) | (F.col("y.root") == F.col("y.most"))
-        met = whole.where("most is null or root != most").alias("x").join(
-            whole.alias("y"), _near(self.similarity, True) & apart & way & once
-        )
-        edges = self.verified(_pairs_of(met))
-        unstage(found, whole, *parts)
+        still = F.col("x.now") != F.col("y.now")
+        met = now.where("most is null or root != most").alias("x").join(now.alias("y"), near & still & way & once)
+        met = stage(_pairs_of(met), "near-met")
+        edges = roots.toDF("a", "b").unionAll(self._rest(met, roots.toDF("a", "b")))
+        unstage(found, whole, met, self.sets, *parts)
+        self.sets = None
         return edges
 
+    def _rest(self, met: DataFrame, known: DataFrame) -> DataFrame:
+        """(a, b) of verified links that connect the sets of the pairs: two pairs of each set first,
+        then all whose sets are still in different components."""
+        first = self.verified(_few(met.unionAll(met.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))))
+        roots = components(known.unionAll(first), "near-roots")
+        left = met.join(roots.toDF("x", "rx"), "x", "left").join(roots.toDF("y", "ry"), "y", "left")
+        left = left.where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
+        return first.unionAll(self.verified(_ordered(left)))
+
 
 def _marked(text: str):
     def run(batches):

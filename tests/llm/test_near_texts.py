@@ -119,3 +119,26 @@ def test_linked_members_of_a_large_group_are_not_paired_up(spark, monkeypatch):
     got = {r["doc_id"] for r in similar.deduplicate(docs).collect()}
     root = brute.classes(sorted(texts), lambda a, b: a % 2 == b % 2 == 1 and _linked(texts[a], texts[b]))
     assert got == set(root.values()) and sum(compared) < 20 * len(texts)
+
+
+def test_links_of_a_group_in_small_buckets_are_found_by_few_comparisons(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"h{i}" for i in range(5000)]
+    base, compared, plain = [rng.choice(words) for _ in range(150)], [], similar.Search.verified
+    texts = {}
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(150)] = rng.choice(words)
+        texts[i] = " ".join(own)
+    assert sum(_linked(texts[a], texts[b]) for a in texts for b in range(a)) > 30_000
+
+    def counted(self, pairs):
+        compared.append(pairs.distinct().count())
+        return plain(self, pairs)
+
+    monkeypatch.setattr(similar.Search, "verified", counted)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], DOCS)
+    got = {r["doc_id"] for r in similar.deduplicate(docs, bucket_limit=1000).collect()}
+    root = brute.classes(sorted(texts), lambda a, b: _linked(texts[a], texts[b]))
+    assert got == set(root.values()) and sum(compared) <= 6 * len(texts)
